@@ -75,3 +75,22 @@ def pareto_mix(documents: DataFrame, seed: int = 17, weights=WEIGHTS, most: int
     edged = cut.where(at_edge).withColumn("upto", upto).withColumn("extra", (2 * F.col("upto") - F.col("size") <= 2 * (F.col("open") - F.col("before"))).cast("long")).drop("upto")
     whole = settled.unionByName(edged).withColumn("copies", F.coalesce("certain", F.lit(0)) + F.col("extra"))
     return whole.select("doc_id", "text_key", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat_rows(documents: DataFrame, **options) -> DataFrame:
+    """All columns of the documents, each row as often as the mix takes it.
+
+    Equal rows (one id, one text) may differ in what they are taken: their number of rows in all is kept.
+    """
+    mixed = pareto_mix(documents, **options)
+    key = F.xxhash64(F.lit(options.get("seed", 17) + 1), "text")
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    joined = documents.withColumn("_own", key).join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")))
+    same = Window.partitionBy("doc_id", "_own").orderBy("_rows")
+    if not taken.where("_rows > 1").isEmpty():
+        joined = joined.withColumn("_n", F.row_number().over(same))
+    else:
+        joined = joined.withColumn("_n", F.lit(1))
+    share = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_n") <= F.col("_copies") % F.col("_rows")).cast("long")
+    repeated = joined.withColumn("_share", share.cast("int")).where("_share > 0").withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_share"))))
+    return repeated.select(*documents.columns)

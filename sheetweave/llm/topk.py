@@ -61,7 +61,7 @@ def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
             m = _matrix(batch.column("v"), width)
             m = m / np.maximum(np.sqrt((m / max(1.0, np.abs(m).max(initial=1.0))) ** 2 @ np.ones((width, 1))) * max(1.0, np.abs(m).max(initial=1.0)), 1.0)
             total += m.T @ m
-        yield pa.RecordBatch.from_pydict({"row": pa.array(range(width), pa.int32()), "at": [list(range(width))] * width, "value": list(total)})
+        yield pa.RecordBatch.from_pydict({"row": pa.array(range(width), pa.int32()), "at": pa.array([list(range(width))] * width, pa.list_(pa.int32())), "value": pa.array(list(total), pa.list_(pa.float64()))})
 
     parts = vectors.select("v").mapInArrow(moments, "row int, at array<int>, value array<double>")
     sums = parts.select("row", F.explode(F.arrays_zip("at", "value")).alias("x")).groupBy("row", F.col("x.at").alias("at")).agg(F.sum("x.value").alias("value"))

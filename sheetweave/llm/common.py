@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import discard, fresh_path, shared_folder, stash
 from ..ship import ship
 
+__all__ = ["BLANKS", "BROADCAST_ROWS", "WORD", "discard", "fresh_path", "join_lookup", "read_table", "shared_folder", "stash", "with_rank"]
+
 #: A word, and what stands between words (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -17,38 +17,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext._jsc.sc()
-        if not context.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sheetweave-"))
-        folder = context.getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/sheetweave/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stashed table that no result reads any more."""
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_lookup(df: DataFrame, lookup: DataFrame, on, rows: int, how: str = "left") -> DataFrame:
     """Join with a lookup table of a counted size: broadcast up to BROADCAST_ROWS rows, else shuffled (AQE splits hot keys)."""
     return df.join(F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup, on, how)

@@ -31,7 +31,7 @@ from .common import fresh_path
 
 MAGIC, HEADER = b"SWIDS001", struct.Struct("<8s7q")
 #: Ids in a shard before a new one begins, keys per bucket of the hash, and displacements tried before another seed.
-SHARD_IDS, BUCKET_KEYS, TRIES = 8_000_000, 4, 4096
+SHARD_IDS, BUCKET_KEYS, TRIES = 8_000_000, 4, 1 << 18
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -176,8 +176,9 @@ def words_of(text):
     return [*WORD.findall(low), "\n"]
 
 
-def test_katz(spark, tricky, rows):
-    found = collect(katz.katz_scores(spark.read.parquet(f"{tricky}/documents.parquet"), hot=300))
+@pytest.mark.parametrize("HOT", [300, 10**9])
+def test_katz(spark, tricky, rows, HOT):
+    found = collect(katz.katz_scores(spark.read.parquet(f"{tricky}/documents.parquet"), hot=HOT))
     training = [r for r in rows if katz.held_out(r["doc_id"], 7, 2) is False]
     uni, pairs = Counter(), Counter()
     for r in training:

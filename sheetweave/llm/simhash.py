@@ -171,9 +171,162 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
     return prints.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(documents: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+# --- near copies by similarity: the same method on fingerprints of 128 bits
+
+
+#: Bits of a wide fingerprint; bits in a band at least; share of pairs at TARGET similarity that some band brings together.
+WIDE, BAND, TARGET, REACHED = 128, 24, 0.85, 0.98
+#: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
+SMALL_RUN = 8
+
+
+def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
+    """128 bits: majority of the shingles' hashes under two seeds; where a bit has as many votes for as against it, the
+    smallest hash decides, so that short texts do not lean to zeros."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0
+    n = max(1, len(words) - shingle + 1)
+    total, least = np.zeros((2, 64), np.int64), np.full(2, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, n, SLICE):
+        part = words[a : min(n, a + SLICE) + shingle - 1]
+        grams = [b" ".join(part)] if len(part) <= shingle else list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
+        for k in (0, 1):
+            hashes = np.fromiter((xxh64_intdigest(g, 42 + k) for g in grams), np.uint64, len(grams))
+            total[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            least[k] = min(least[k], hashes.min())
+    tie = np.unpackbits(least.view(np.uint8).reshape(2, 8), axis=1, bitorder="little").astype(bool)
+    bits = np.where(total * 2 == n, tie, total * 2 > n)
+    low, high = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    return int(low), int(high)
+
+
+def radius_of(similarity: float) -> int:
+    """Differing bits of 128 within which all but two or three of a hundred pairs of this Jaccard similarity lie.
+
+    Jaccard s is cosine 2 s / (1 + s) between equally long sets; a bit differs with a chance of angle / pi.
+    """
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + 2 * np.sqrt(WIDE * share * (1 - share)))
+
+
+def bands_for(rows: int) -> tuple[int, int]:
+    """(bits, bands): a band has 6 bits more than log2 of the rows, so that unrelated fingerprints rarely share one, and
+    there are enough bands that REACHED of the pairs at TARGET similarity come within 2 bits in one of them."""
+    bits = max(BAND, int(np.ceil(np.log2(max(rows, 2)))) + 6)
+    p = np.arccos(2 * TARGET / (1 + TARGET)) / np.pi
+    q = 1 - p
+    within = q**bits + bits * p * q ** (bits - 1) + bits * (bits - 1) / 2 * p * p * q ** (bits - 2)
+    return bits, int(np.ceil(np.log(1 - REACHED) / np.log(1 - within)))
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1)
+
+
+def wide_forest(prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """As forest(), over rows of two 64-bit halves."""
+    left, links, frontier = np.arange(1, len(prints)), [], [0]
+    while frontier:
+        node = frontier.pop()
+        near = _distances(prints[left], prints[node]) <= radius
+        links += [(node, int(x)) for x in left[near]]
+        frontier += left[near].tolist()
+        left = left[~near]
+        if not frontier and len(left):
+            frontier, left = [int(left[0])], left[1:]
+    return links
+
+
+def run_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of linked members of runs of equal keys, enough to connect each run's linked members."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    sizes = np.diff(starts)
+    small = np.repeat(sizes <= SMALL_RUN, sizes)
+    out = []
+    for shift in range(1, SMALL_RUN):
+        at = np.flatnonzero(small[:-shift] & (keys[:-shift] == keys[shift:])) if len(keys) > shift else np.zeros(0, np.int64)
+        at = at[_distances(prints[at], prints[at + shift]) <= radius]
+        out.append((at, at + shift))
+    for r in np.flatnonzero(sizes > SMALL_RUN):
+        a = starts[r]
+        members, first = np.unique(prints[a : starts[r + 1]], axis=0, return_index=True)
+        found = np.array(wide_forest(members, radius), np.int64).reshape(-1, 2)
+        out.append((a + first[found[:, 0]], a + first[found[:, 1]]))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
+    """(a, b) as hexadecimal fingerprints: links between distinct fingerprints (low, high) within the radius."""
+    bits, bands = bands_for(rows)
+    rng = np.random.default_rng(7)
+    chosen = [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(bands)]
+
+    def emit(batches):
+        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+        flips = np.concatenate([[0], powers])
+        for batch in batches:
+            low, high = batch.column("low"), batch.column("high")
+            both = np.stack([np.asarray(low), np.asarray(high)], 1)
+            cells = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int64)
+            for band, columns in enumerate(chosen):
+                keys = ((cells[:, columns] @ powers)[:, None] ^ flips[None, :]) + (np.int64(band) << np.int64(bits))
+                for a in range(0, len(keys), 2_000):
+                    part = keys[a : a + 2_000]
+                    many = np.repeat(both[a : a + 2_000], bits + 1, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.ascontiguousarray(many[:, 0])), pa.array(np.ascontiguousarray(many[:, 1]))], ["key", "low", "high"])
+
+    def collide(batches):
+        names = lambda x: pa.array([f"{int(h):016x}{int(w):016x}" for w, h in x], pa.string())
+        rest_keys, rest = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
+
+        def linked(keys, prints):
+            a, b = run_links(keys, prints, radius)
+            pairs = np.unique(np.concatenate([prints[a], prints[b]], 1), axis=0)
+            return pa.RecordBatch.from_arrays([names(pairs[:, :2]), names(pairs[:, 2:])], ["a", "b"])
+
+        for batch in batches:
+            keys = np.concatenate([rest_keys, np.asarray(batch.column("key"))])
+            prints = np.concatenate([rest, np.stack([np.asarray(batch.column("low")), np.asarray(batch.column("high"))], 1).view(np.uint64)])
+            # the last run may go on in the next batch
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            rest_keys, rest = keys[cut:], prints[cut:]
+            if cut:
+                yield linked(keys[:cut], prints[:cut])
+        if len(rest_keys):
+            yield linked(rest_keys, rest)
+
+    dealt = distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(collide, "a string, b string").distinct()
+
+
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: rows whose wide fingerprints connect them within radius_of(similarity).
+
+    Fingerprints of 64 bits are within 3 bits only at similarities near 1; of 128 bits, bands are ball-hashed as the
+    halves above are, each band's radius 1 from both sides, and a collision counts if all bits are within the radius.
+    """
+
+    def hashed(batches):
+        for batch in batches:
+            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["doc_id", "low", "high"])
+
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = stash(texts.mapInArrow(hashed, "doc_id long, low long, high long"), "simhash-wide")
+    distinct = stash(prints.groupBy("low", "high").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    edges = wide_links(distinct, distinct.count(), radius_of(similarity))
+    roots = connected_components(edges, lambda df: stash(df, "simhash-components"))
+    name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
+    rooted = distinct.withColumn("name", name).join(roots, F.col("name") == F.col("node"), "left").select("low", "high", "least", F.coalesce("root", "name").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("low", "high", "component_id"), ["low", "high"]).select("doc_id", "component_id")
+
+
+def drop_near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows whose doc_id names their component, with all their columns; a component without ids keeps its rows."""
-    groups = near_groups(documents, shingle, radius)
-    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id").distinct()
-    rows = documents.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return rows
+    groups = similar_groups(documents, shingle, similarity)
+    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
+    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

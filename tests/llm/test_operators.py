@@ -518,3 +518,70 @@ def test_top_k_rotation_is_orthogonal(spark):
     vectors = topk.integer_vectors(spark.read.parquet(f"{DATA}/embeddings.parquet"), "vec_id", "embedding")
     q = topk._rotation(vectors, 64)
     assert np.allclose(q.T @ q, np.eye(64), atol=1e-9)
+
+
+def test_wide_links_connect_what_is_within_the_radius(spark):
+    rng = np.random.default_rng(2)
+    rows = rng.integers(0, 2**63, (200, 2)).astype(np.uint64)
+    family = []
+    for base in rows[:30]:
+        for _ in range(20):
+            flips = rng.choice(128, 9, replace=False)
+            mask = [sum(1 << int(b) for b in flips if b < 64), sum(1 << int(b - 64) for b in flips if b >= 64)]
+            family.append(base ^ np.array(mask, np.uint64))
+    prints = np.unique(np.concatenate([rows, family]), axis=0)
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in prints.view(np.int64).tolist()], "low long, high long").repartition(5)
+    edges = [(int(e["a"], 16), int(e["b"], 16)) for e in simhash.wide_links(frame, len(prints), 27).collect()]
+    assert edges and all((a ^ b).bit_count() <= 27 for a, b in edges)
+    groups = Counter()
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    for a, b in prints.tolist():
+        groups[root((b << 64) | a)] += 1
+    assert sorted(groups.values())[-30:] == [21] * 30 and sum(v > 1 for v in groups.values()) == 30
+
+
+def test_near_copies_go_and_other_documents_stay(spark):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    docs, copies = [], set()
+    for i in range(60):
+        text = rng.choice(words, 300).tolist()
+        docs.append((10 * i, " ".join(text), "x"))
+        for j in range(3):
+            other = list(text)
+            for at in rng.choice(300, 4, replace=False):
+                other[at] = "changed"
+            docs.append((10 * i + j + 1, " ".join(other), "y"))
+            copies.add(10 * i + j + 1)
+    docs += [(5000 + i, " ".join(rng.choice(words, 2 + i % 9)), "z") for i in range(300)] + [(None, "no id", "z"), (9000, None, "z"), (9001, "", "z")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, low string")
+    found = simhash.drop_near_copies(frame)
+    assert found.columns == frame.columns
+    kept = {r["doc_id"] for r in found.collect()}
+    assert kept == {d for d, *_ in docs} - copies - {9001}
+
+
+def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
+    import corpus_pipeline
+
+    for folder in (tricky, empty):
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        columns = docs.columns
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            docs = stage(spark, docs, folder)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == columns
+                docs = spark.createDataFrame(docs.collect(), before.schema)
+        found = collect(docs)
+        check_packing(found, 2048)
+        assert bool(found) == (folder == tricky)
+    assert len(found) == 0

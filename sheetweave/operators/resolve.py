@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import digits_key
 from ..lineage import stash
@@ -157,7 +158,7 @@ def block_candidates(drawings: DataFrame) -> DataFrame:
     return d.withColumnRenamed("key", "a").join(b, ["node_class", "digits"]).where("a < b and sheet <> sheet_b and tag <> tag_b").select("a", "b", "tag", "tag_b")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def string_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
     """Twice the matching characters over all, by longest matching blocks."""
     import difflib

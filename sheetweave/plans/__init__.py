@@ -1 +1,6 @@
-"""Part of the engine; see the module docstrings."""
+"""Queries over the driver tables; importing this package registers all of them."""
+
+from . import plant_queries, run_queries  # noqa: F401
+from .catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

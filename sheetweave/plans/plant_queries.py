@@ -214,7 +214,7 @@ def shortest_path(spark, sf_dir):
     return traverse.paths(tree, targets).select("start", "node", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
-@query("gr4_reach_with_crossings", with_sql("nodes", "flow", recursive=RANKED.format(start="p1")) + """, c AS (SELECT node, hops, list_sum(list_transform(range(1, len(path)), i -> CASE WHEN CAST(path[i][2:] AS BIGINT) % 25 <> CAST(path[i + 1][2:] AS BIGINT) % 25 THEN 1 ELSE 0 END)) AS k FROM shortest WHERE n = 1 AND hops > 0)
+@query("gr4_reach_with_crossings", with_sql("nodes", "flow", recursive=RANKED.format(start="p1")) + """, c AS (SELECT node, hops, list_sum(list_transform(range(1, len(path)), lambda i: CASE WHEN CAST(path[i][2:] AS BIGINT) % 25 <> CAST(path[i + 1][2:] AS BIGINT) % 25 THEN 1 ELSE 0 END)) AS k FROM shortest WHERE n = 1 AND hops > 0)
 SELECT 'p1' AS start, node, hops, CAST(k AS BIGINT) AS k FROM c""")
 def reach_with_crossings(spark, sf_dir):
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
@@ -224,14 +224,14 @@ def reach_with_crossings(spark, sf_dir):
     return tree.where("hops > 0").select("start", "node", "hops", F.col("weight").cast("long").alias("k"))
 
 
-FOLD = """fold(source, at, route, tags, depth) AS (
+FOLD = """fold(source, spot, route, tags, depth) AS (
   SELECT node, node, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), 0 FROM nodes WHERE kind IN ('equipment', 'valve')
   UNION ALL SELECT f.source, e.dst, list_append(f.route, e.dst), CASE WHEN n.tag IS NULL THEN f.tags ELSE list_append(f.tags, n.tag) END, f.depth + 1
-  FROM fold f JOIN flow e ON e.src = f.at JOIN nodes n ON n.node = e.dst WHERE n.kind NOT IN ('equipment', 'valve') AND NOT list_contains(f.route, e.dst) AND f.depth < 12),
+  FROM fold f JOIN flow e ON e.src = f.spot JOIN nodes n ON n.node = e.dst WHERE n.kind NOT IN ('equipment', 'valve') AND NOT list_contains(f.route, e.dst) AND f.depth < 12),
 line AS (
   SELECT source, target, via_tags, n_fittings FROM (
     SELECT f.source, e.dst AS target, array_to_string(f.tags, ',') AS via_tags, len(f.route) - len(f.tags) AS n_fittings,
-      row_number() OVER (PARTITION BY f.source, e.dst ORDER BY f.depth, f.route) AS n FROM fold f JOIN flow e ON e.src = f.at WHERE e.dst IN """ + ITEMS + """ AND e.dst <> f.source) x WHERE n = 1)"""
+      row_number() OVER (PARTITION BY f.source, e.dst ORDER BY f.depth, f.route) AS n FROM fold f JOIN flow e ON e.src = f.spot WHERE e.dst IN """ + ITEMS + """ AND e.dst <> f.source) x WHERE n = 1)"""
 
 
 def lines(spark, sf_dir) -> DataFrame:
@@ -282,7 +282,7 @@ ALL_DOWN = "starts AS (SELECT node FROM nodes WHERE kind = 'equipment'), reach(s
 ALL_UP = "starts AS (SELECT node FROM nodes WHERE kind = 'equipment'), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.src FROM reach r JOIN flow e ON e.dst = r.node)"
 
 
-@query("gr23_unreachable", with_sql("nodes", "flow", recursive=ALL_DOWN) + "SELECT s.node AS start, count(*) AS n_unreachable FROM starts s JOIN starts t ON s.node <> t.node WHERE s.node NOT IN ('x') AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = s.node AND r.node = t.node) GROUP BY 1")
+@query("gr23_unreachable", with_sql("nodes", "flow", recursive=ALL_DOWN) + "SELECT s.node AS start, (SELECT count(*) FROM starts) - 1 - (SELECT count(*) FROM reach r WHERE r.start = s.node AND r.node <> s.node AND r.node IN (SELECT node FROM starts)) AS n_unreachable FROM starts s")
 def unreachable(spark, sf_dir):
     """How many equipment items each equipment item does not reach: all there are, less what it reaches."""
     items = P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node")
@@ -291,8 +291,8 @@ def unreachable(spark, sf_dir):
     return items.join(reached, items.node == reached.start, "left").select(F.col("node").alias("start"), (F.lit(n - 1) - F.coalesce("r", F.lit(0))).alias("n_unreachable"))
 
 
-@query("gr24_nearest_owner", with_sql("nodes", "flow", recursive="""both AS (SELECT src, dst FROM flow UNION SELECT dst, src FROM flow),
-own(node, hops) AS (SELECT node, 0 FROM nodes WHERE node_class = 'Tank' UNION SELECT b.dst, o.hops + 1 FROM own o JOIN both b ON b.src = o.node WHERE o.hops < 16)""") + "SELECT n.node, min(o.hops) AS hops FROM nodes n LEFT JOIN own o USING (node) GROUP BY 1")
+@query("gr24_nearest_owner", with_sql("nodes", "flow", recursive="""twoway AS (SELECT src, dst FROM flow UNION SELECT dst, src FROM flow),
+own(node, hops) AS (SELECT node, 0 FROM nodes WHERE node_class = 'Tank' UNION SELECT b.dst, o.hops + 1 FROM own o JOIN twoway b ON b.src = o.node WHERE o.hops < 16)""") + "SELECT n.node, min(o.hops) AS hops FROM nodes n LEFT JOIN own o USING (node) GROUP BY 1")
 def nearest_owner(spark, sf_dir):
     nodes = P.nodes(spark, sf_dir)
     return traverse.nearest_owners(P.flow(spark, sf_dir), nodes, nodes.where("node_class = 'Tank'")).select("node", "hops")

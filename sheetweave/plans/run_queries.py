@@ -20,9 +20,9 @@ def r6(c, name):
     return F.round(c, 6).alias(name)
 
 
-@query("ag9_run_summary", with_sql("runs") + f"SELECT strategy, {BINS} AS k_bin, outcome, count(*) AS n, round(avg(cost), 6) AS cost FROM runs GROUP BY ALL")
+@query("ag9_run_summary", with_sql("runs") + f"SELECT strategy, {BINS} AS k_bin, outcome, count(*) AS n, round(avg(cost), 9) AS cost FROM runs GROUP BY ALL")
 def run_summary(spark, sf_dir):
-    return P.runs(spark, sf_dir).groupBy("strategy", k_bin("k").alias("k_bin"), "outcome").agg(F.count("*").alias("n"), r6(F.avg("cost"), "cost"))
+    return P.runs(spark, sf_dir).groupBy("strategy", k_bin("k").alias("k_bin"), "outcome").agg(F.count("*").alias("n"), F.round(F.avg("cost"), 9).alias("cost"))
 
 
 @query("ag10_policy_summary", with_sql("runs") + """SELECT strategy, count(*) AS n, count(*) FILTER (correct AND latency <= 120) AS n_correct, count(*) FILTER (outcome = 'TIMED_OUT') AS n_timed_out, round(sum(cost), 6) AS cost,
@@ -66,10 +66,10 @@ def usage_tally(spark, sf_dir):
 
 
 @query("ag19_grouping_sets", with_sql("runs") + f""", g AS (SELECT *, 'overall' AS dimension, 'all' AS grp FROM runs UNION ALL SELECT *, 'family', family FROM runs UNION ALL SELECT *, 'k', {BINS} FROM runs)
-SELECT strategy, dimension, grp, count(*) AS n, round(avg(CAST(correct AS INTEGER)), 6) AS accuracy, round(avg(cost), 6) AS cost, quantile_disc(latency, 0.9) AS latency_p90 FROM g GROUP BY ALL""")
+SELECT strategy, dimension, grp, count(*) AS n, round(avg(CAST(correct AS INTEGER)), 9) AS accuracy, round(avg(cost), 9) AS cost, quantile_disc(latency, 0.9) AS latency_p90 FROM g GROUP BY ALL""")
 def grouping_sets(spark, sf_dir):
     out = runs.grouping_sets(P.runs(spark, sf_dir), ["strategy"], {"family": F.col("family"), "k": k_bin("k")})
-    return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "cost")})
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "cost")})
 
 
 @query("ca3_walk_tiers", with_sql("runs") + """, t AS (SELECT question, (row_number() OVER (PARTITION BY question ORDER BY event_id)) AS pos, outcome, correct, cost, latency FROM runs), f AS (SELECT * FROM t WHERE pos <= 4),
@@ -164,7 +164,7 @@ def tuning(spark, sf_dir):
 
 
 @query("sc4_score_sets", """
-WITH w AS (SELECT doc_id, list_distinct(list_transform(string_split(lang || ' ' || source || ' ' || lang, ' '), x -> upper(x))) AS ref, list_distinct(list_transform(string_split(source || ' x', ' '), x -> upper(x))) AS ans FROM documents),
+WITH w AS (SELECT doc_id, list_distinct(list_transform(string_split(lang || ' ' || source || ' ' || lang, ' '), lambda x: upper(x))) AS ref, list_distinct(list_transform(string_split(source || ' x', ' '), lambda x: upper(x))) AS ans FROM documents),
 s AS (SELECT doc_id, len(list_intersect(ref, ans)) AS hit, len(ref) AS nr, len(ans) AS na FROM w)
 SELECT doc_id, round(hit / na, 6) AS p, round(hit / nr, 6) AS r, round(CASE WHEN hit = 0 THEN 0 ELSE 2.0 * hit / (na + nr) END, 6) AS f1, hit = nr AND hit = na AS exact FROM s""")
 def set_scores(spark, sf_dir):
@@ -187,7 +187,7 @@ def equipment_drawings(spark, sf_dir):
     return P.drawings(spark, sf_dir).join(P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node", "tag", "node_class", "unit"), "node")
 
 
-@query("ag2_identity_groups", with_sql("nodes", "drawings", recursive=TAGGED) + """SELECT tag, node_class, home, array_to_string(list_filter(keys, x -> x <> home), ',') AS refs, n_sheets FROM (
+@query("ag2_identity_groups", with_sql("nodes", "drawings", recursive=TAGGED) + """SELECT tag, node_class, home, array_to_string(list_filter(keys, lambda x: x <> home), ',') AS refs, n_sheets FROM (
   SELECT tag, node_class, count(DISTINCT sheet) AS n_sheets, count(*) AS n, list(key ORDER BY key) AS keys, first(key ORDER BY n_properties DESC, sheet) AS home FROM tagged WHERE tag IS NOT NULL GROUP BY ALL) x WHERE n = n_sheets AND n_sheets >= 2""")
 def identity_groups(spark, sf_dir):
     return resolve.group_identities(equipment_drawings(spark, sf_dir)).select("tag", "node_class", "home", F.array_join("references", ",").alias("refs"), "n_sheets")
@@ -205,8 +205,8 @@ def split_flow(spark, sf_dir):
     return resolve.cut_edges(flow, homes(spark, sf_dir))
 
 
-CUT = HOME + """, at AS (SELECT src, dst, a.sheet AS ss, b.sheet AS ds FROM flow JOIN home a ON a.node = src JOIN home b ON b.node = dst),
-cut AS (SELECT src, dst, ss, ds, ss || ':out' || row_number() OVER (PARTITION BY ss ORDER BY src, dst) AS out_stub, ds || ':in' || row_number() OVER (PARTITION BY ds ORDER BY src, dst) AS in_stub FROM at WHERE ss <> ds)"""
+CUT = HOME + """, placed AS (SELECT src, dst, a.sheet AS ss, b.sheet AS ds FROM flow JOIN home a ON a.node = src JOIN home b ON b.node = dst),
+cut AS (SELECT src, dst, ss, ds, ss || ':out' || row_number() OVER (PARTITION BY ss ORDER BY src, dst) AS out_stub, ds || ':in' || row_number() OVER (PARTITION BY ds ORDER BY src, dst) AS in_stub FROM placed WHERE ss <> ds)"""
 
 
 @query("gr31_split_stubs", with_sql("flow", "drawings", recursive=CUT) + "SELECT out_stub AS from_key, in_stub AS to_key FROM cut")
@@ -214,7 +214,7 @@ def split_stubs(spark, sf_dir):
     return split_flow(spark, sf_dir)[2].select("from_key", "to_key")
 
 
-@query("gr8_contract_round_trip", with_sql("flow", "drawings", recursive=CUT) + "SELECT src, dst, CASE WHEN ss <> ds THEN 2 ELSE 0 END AS n_via FROM at")
+@query("gr8_contract_round_trip", with_sql("flow", "drawings", recursive=CUT) + "SELECT src, dst, CASE WHEN ss <> ds THEN 2 ELSE 0 END AS n_via FROM placed")
 def contract_round_trip(spark, sf_dir):
     """Sheets cut apart and contracted again are the plant they came from."""
     on_sheets, _, pairs = split_flow(spark, sf_dir)

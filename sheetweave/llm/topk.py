@@ -25,7 +25,7 @@ from .common import stash
 #: Bytes of one block of queries, as sent to every task, and candidates that give the first thresholds.
 BLOCK_BYTES, HEAD_ROWS = 16_000_000, 2_000
 #: Candidates compared at a time, and the parts of the rotated components after which bounds are taken.
-SLICE, STEPS = 512, (0.25, 0.5)
+SLICE, STEPS = 512, (0.125, 0.25, 0.5)
 #: Integer sums below this are exact in float64.
 EXACT = float(2**53)
 
@@ -79,7 +79,7 @@ class _Searcher:
         self.norms = np.sqrt((vectors * vectors).sum(1))
         self.turned = vectors @ rotation
         width = vectors.shape[1]
-        self.cuts = sorted({max(1, int(width * s)) for s in STEPS} - {width}) if width > 1 else []
+        self.cuts = sorted({max(1, int(width * s)) for s in STEPS} | {width})
         self.rests = [np.sqrt((self.turned[:, c:] ** 2).sum(1)) for c in self.cuts]
         self.scores = np.full((len(ids), k), -np.inf)
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
@@ -96,16 +96,22 @@ class _Searcher:
         if not len(live) or not len(ids):
             return
         turned = vectors @ self.rotation
-        pad = (1e-9 * norms.max(initial=0.0)) * self.norms[live] + 1e-6
-        q, c = np.nonzero(np.ones((len(live), len(ids)), bool)) if not self.cuts else (None, None)
+        pad = 1e-9 * norms.max(initial=0.0) * self.norms + 1e-6
+        # partial sums grow cut by cut over the queries and candidates that still have a pair within reach
+        cols, done = np.arange(len(ids)), 0
+        partial = np.zeros((len(live), len(cols)))
         for cut, rests in zip(self.cuts, self.rests, strict=True):
-            rest = np.sqrt((turned[:, cut:] ** 2).sum(1))
-            if q is None:
-                bound = self.turned[live, :cut] @ turned[:, :cut].T + rests[live][:, None] * rest[None, :]
-                q, c = np.nonzero(bound + pad[:, None] >= limit[live][:, None])
-            else:
-                keep = np.concatenate([np.einsum("ij,ij->i", self.turned[live[q[a : a + 65536]], :cut], turned[c[a : a + 65536], :cut]) + rests[live[q[a : a + 65536]]] * rest[c[a : a + 65536]] + pad[q[a : a + 65536]] >= limit[live[q[a : a + 65536]]] for a in range(0, len(q), 65536)] or [np.zeros(0, bool)])
-                q, c = q[keep], c[keep]
+            partial += self.turned[live, done:cut] @ turned[cols, done:cut].T
+            rest = np.sqrt((turned[cols, cut:] ** 2).sum(1))
+            within = partial + rests[live][:, None] * rest[None, :] >= (limit - pad)[live][:, None]
+            done, some_q, some_c = cut, within.any(1), within.any(0)
+            live, cols = live[some_q], cols[some_c]
+            if not len(live):
+                return
+            within = within[some_q][:, some_c]
+            partial = partial[some_q][:, some_c]
+        q, c = np.nonzero(within)
+        c = cols[c]
         keep = self.ids[live[q]] != ids[c]
         q, c = live[q[keep]], c[keep]
         for a in range(0, len(q), 65536):

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..lineage import discard, fresh_path, shared_folder, stash
 from ..ship import ship
 
-__all__ = ["BLANKS", "BROADCAST_ROWS", "WORD", "discard", "fresh_path", "join_lookup", "read_table", "shared_folder", "stash", "with_rank"]
+__all__ = ["ARROW_ROWS", "BLANKS", "BROADCAST_ROWS", "WORD", "bound_batches", "discard", "fresh_path", "join_lookup", "read_table", "shared_folder", "stash", "with_rank"]
 
 #: A word, and what stands between words (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 20_000
+#: Rows of texts in an Arrow batch.
+ARROW_ROWS = 1_000
 
 
 def join_lookup(df: DataFrame, lookup: DataFrame, on, rows: int, how: str = "left") -> DataFrame:
@@ -39,6 +41,12 @@ def with_rank(df: DataFrame, order: list, name: str, rank: str = "rank") -> Data
     return ranked.withColumn(rank, F.col("_before") + place).drop("_spot", "_part", "_before")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: no more than ARROW_ROWS rows reach a Python worker at once. Holds for the session from here on."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Characters of an n-gram; slots of the filter (a power of two) and slots per n-gram; languages at most.
 N, SLOTS_LOG2, HASHES, MOST_LANGUAGES = 4, 20, 2, 4096
 #: Rows expected in a language's sample, and the least share of its n-grams that one needs to be learned.
@@ -124,6 +126,7 @@ def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilte
 def identify(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
     """All columns of the documents, and lang_pred, lang_score and lang_share."""
     spark = documents.sparkSession
+    bound_batches(spark)
     sent = spark.sparkContext.broadcast(filters)  # 8 MB per 63 languages
 
     def judge(batches):

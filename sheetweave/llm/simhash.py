@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import stash
+from .common import bound_batches, stash
 
 #: Differing bits up to which fingerprints link, and members from which a bucket is divided further.
 RADIUS, BUCKET = 3, 4096
@@ -54,6 +54,7 @@ def fingerprints(documents: DataFrame, shingle: int, seed: int = 42) -> DataFram
             found = np.fromiter((fingerprint(t.as_py(), shingle, seed) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(found.view(np.int64))})
 
+    bound_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(hashed, "doc_id long, fp long")
 
 
@@ -315,6 +316,7 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["doc_id", "low", "high"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(documents.sparkSession)
     prints = stash(texts.mapInArrow(hashed, "doc_id long, low long, high long"), "simhash-wide")
     distinct = stash(prints.groupBy("low", "high").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     edges = wide_links(distinct, distinct.count(), radius_of(similarity))

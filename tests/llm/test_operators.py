@@ -176,9 +176,9 @@ def words_of(text):
     return [*WORD.findall(low), "\n"]
 
 
-@pytest.mark.parametrize("HOT", [300, 10**9])
-def test_katz(spark, tricky, rows, HOT):
-    found = collect(katz.katz_scores(spark.read.parquet(f"{tricky}/documents.parquet"), hot=HOT))
+@pytest.mark.parametrize("hot, chunk_bytes", [(300, 20_000), (10**9, 10**7), (1_000, 100)])
+def test_katz(spark, tricky, rows, hot, chunk_bytes):
+    found = collect(katz.katz_scores(spark.read.parquet(f"{tricky}/documents.parquet"), hot=hot, chunk_bytes=chunk_bytes))
     training = [r for r in rows if katz.held_out(r["doc_id"], 7, 2) is False]
     uni, pairs = Counter(), Counter()
     for r in training:
@@ -586,3 +586,23 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
         check_packing(found, 2048)
         assert bool(found) == (folder == tricky)
     assert len(found) == 0
+
+
+@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_give_the_ids_of_whole_texts(name, spaced, small, monkeypatch):
+    import random
+
+    from sheetweave.llm import tokenization
+
+    if small:
+        for constant, value in (("REMEMBERED", 50), ("SLICE_BYTES", 3_000), ("SUB_BATCH", 7), ("WORDS", 3)):
+            monkeypatch.setattr(tokenization, constant, value)
+    rng = random.Random(1)
+    atoms = [" ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "\x1f", "\x85", "\xa0", " ", "a", "B", "foo", "Bar", ".", ",", "...", "'s", "'", "don't", "é", "É", "é", "́", "1", "23", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "日本", "😀", "İ", "ß", "-", "\x00", "​", "x.y", "3.5", "a,b"]
+    texts = ["".join(rng.choice(atoms) for _ in range(rng.randint(0, 25))) for _ in range(4_000)] + [""]
+    texts += pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist()
+    got = []
+    for _, _, ids, counts in tokenization.BatchEncoder(queries.tokenizer_path(name), spaced).slices(pa.array(texts)):
+        got += [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == tokenized(name, texts)

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import bound_batches, fresh_path, stash
 
 MAGIC, HEADER = b"SWIDS001", struct.Struct("<8s7q")
 #: Ids in a shard before a new one begins, keys per bucket of the hash, and displacements tried before another seed.
-SHARD_IDS, BUCKET_KEYS, TRIES = 8_000_000, 4, 1 << 18
+SHARD_IDS, BUCKET_KEYS, TRIES = 2_000_000, 4, 1 << 18
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -193,11 +193,10 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int = 0, folder:
             yield flush()
 
     arrow = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
+    bound_batches(spark)
     order = ["doc_id", "tie"]
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     sorted_ = texts.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    from .common import stash
-
     manifest = stash(sorted_.mapInArrow(write, "shard long, path string, documents long, ids long, doc_ids array<long>"), "token-manifest")
     totals, start = [], 0
     for row in manifest.select("shard", "ids").orderBy("shard").collect():  # a row per shard of SHARD_IDS ids or per task

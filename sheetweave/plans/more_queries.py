@@ -379,3 +379,21 @@ def tree_parents(spark, sf_dir):
 def path_within_sheets(spark, sf_dir):
     inside = P.drawings(spark, sf_dir).where("sheet < '199712'").select("node").distinct()
     return traverse.closure(P.flow(spark, sf_dir), _starts(P.nodes(spark, sf_dir), "node = 'p1'"), "down", walk=inside).where("node <> 'p1'").select("node")
+
+
+@query("src16_generated_plant")
+def generated_plant(spark, sf_dir):
+    from ..sources.generator import GeneratorConfig, generate
+
+    nodes, edges = generate(spark, GeneratorConfig(seed=7, n_units=40))
+    return nodes.groupBy(F.lit("node").alias("what"), F.col("node_class").alias("name")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("what"), F.col("relation").alias("name")).agg(F.count("*").alias("n")))
+
+
+@query("gr34_group_with_links")
+def group_with_links(spark, sf_dir):
+    from ..operators.grouping import group_with_links as group
+
+    d = equipment_drawings(spark, sf_dir).where("unit = 'U05'")
+    d = d.withColumn("tag", F.concat("tag", F.when(F.col("sheet").cast("long") % 2 == 0, "").otherwise("0")))
+    links = resolve.block_candidates(d).withColumn("score", resolve.string_similarity("tag", "tag_b"))
+    return group(d.select("key", "sheet", "n_properties"), links.select("a", "b", "score"))

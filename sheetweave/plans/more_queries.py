@@ -231,7 +231,7 @@ def no_path(spark, sf_dir):
     return pairs.join(reached, ["source", "target"], "left_anti").select("source", "target")
 
 
-@query("q24_route_avoiding_answers", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE node_class = 'GlobeValve' AND unit IN ('U02', 'U12')), walk(removed, node) AS (SELECT node, 'p0' FROM cut UNION SELECT w.removed, f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst <> w.removed)""") + """SELECT c.node AS avoiding, t.node AS target, EXISTS (SELECT 1 FROM walk w WHERE w.removed = c.node AND w.node = t.node) AS answer FROM cut c JOIN nodes t ON CAST(t.node[2:] AS BIGINT) BETWEEN CAST(c.node[2:] AS BIGINT) * 2 + 1 AND CAST(c.node[2:] AS BIGINT) * 2 + 2""")
+@query("q24_route_avoiding_answers", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE node_class = 'GlobeValve' AND unit IN ('U02', 'U12')), walk(removed, node) AS (SELECT node, 'p0' FROM cut UNION SELECT w.removed, f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst <> w.removed)""") + """SELECT c.node AS avoiding, t.node AS target, EXISTS (SELECT 1 FROM walk w WHERE w.removed = c.node AND w.node = t.node) AS answer FROM cut c JOIN nodes t ON CAST(t.node[2:] AS BIGINT) BETWEEN CAST(c.node[2:] AS BIGINT) * 2 + 1 AND CAST(c.node[2:] AS BIGINT) * 2 + 2 AND t.node LIKE 'p%'""")
 def route_avoiding_answers(spark, sf_dir):
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
     cut = nodes.where("node_class = 'GlobeValve' and unit in ('U02', 'U12')").select(F.col("node").alias("removed"))

@@ -202,7 +202,7 @@ def steps(spark, sf_dir):
 
 RANKED = """tree(node, hops, tags, path) AS (
   SELECT node, 0, [coalesce(tag, node)], [node] FROM nodes WHERE node = '{start}'
-  UNION ALL SELECT f.dst, t.hops + 1, list_append(t.tags, coalesce(n.tag, n.node)), list_append(t.path, f.dst) FROM tree t JOIN flow f ON f.src = t.node JOIN nodes n ON n.node = f.dst WHERE t.hops < 14 AND NOT list_contains(t.path, f.dst)),
+  UNION ALL SELECT f.dst, t.hops + 1, list_append(t.tags, coalesce(n.tag, n.node)), list_append(t.path, f.dst) FROM tree t JOIN flow f ON f.src = t.node JOIN nodes n ON n.node = f.dst WHERE t.hops < 20 AND NOT list_contains(t.path, f.dst)),
 shortest AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, tags, path) AS n FROM tree)"""
 
 
@@ -317,7 +317,7 @@ def route_avoiding(spark, sf_dir):
     return traverse.reach_without(flow, removed, "p0").groupBy("removed").agg(F.count("*").alias("n_reached"))
 
 
-@query("q19_first_meeting_points", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node_class = 'Tank' AND unit IN ('U01', 'U09')), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.dst FROM reach r JOIN flow e ON e.src = r.node), inner_reach(start, node) AS (SELECT node, node FROM nodes WHERE kind IN ('equipment', 'valve') UNION SELECT r.start, e.dst FROM inner_reach r JOIN flow e ON e.src = r.node)") + """,
+@query("q19_first_meeting_points", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node_class IN ('Tank', 'PressureVessel') AND CAST(node[2:] AS BIGINT) BETWEEN 20 AND 95), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.dst FROM reach r JOIN flow e ON e.src = r.node), inner_reach(start, node) AS (SELECT node, node FROM nodes WHERE kind IN ('equipment', 'valve') UNION SELECT r.start, e.dst FROM inner_reach r JOIN flow e ON e.src = r.node)") + """,
 pairs AS (SELECT a.node AS first, b.node AS second FROM starts a JOIN starts b ON a.node < b.node WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = a.node AND r.node = b.node) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = b.node AND r.node = a.node)),
 common AS (SELECT p.first, p.second, r.node FROM pairs p JOIN reach r ON r.start = p.first JOIN reach s ON s.start = p.second AND s.node = r.node WHERE r.node NOT IN (p.first, p.second)),
 size AS (SELECT first, second, count(*) AS n FROM common GROUP BY ALL),
@@ -325,7 +325,7 @@ able AS (SELECT c.first, c.second, c.node FROM common c JOIN common d ON c.first
 SELECT first, second, max(node) AS meeting FROM able GROUP BY ALL HAVING count(*) = 1""")
 def first_meeting_points(spark, sf_dir):
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    starts = nodes.where("node_class = 'Tank' and unit in ('U01', 'U09')").select(F.col("node").alias("start"))
+    starts = nodes.where("node_class in ('Tank', 'PressureVessel') and cast(substring(node, 2, 20) as bigint) between 20 and 95").select(F.col("node").alias("start"))
     return traverse.meeting_points(flow, starts, nodes.where(F.col("node_class").isin(*LINE_ITEMS)).select("node"))
 
 

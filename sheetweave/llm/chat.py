@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
 RENDERED = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n", re.S)
 TURNS = "conv_id long, position long, rendered string, start long, example_chars long, loss_start long, loss_end long"
+ARROW = pa.schema([(c, pa.string() if c == "rendered" else pa.int64()) for c in ("conv_id", "position", "rendered", "start", "example_chars", "loss_start", "loss_end")])
 
 
 def escape_text(col):
@@ -66,28 +67,30 @@ def expand_examples(conversations: DataFrame) -> DataFrame:
     def place(batches):
         conv, position, start = (), 0, 0
         for batch in batches:
-            rows = {name: [] for name in ("position", "start", "example_chars", "loss_start", "loss_end")}
-            for key, target, reply, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "target", "reply", "size")), strict=True):
+            out: list[tuple] = []
+            for key, rendered, target, reply, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "target", "reply", "size")), strict=True):
                 if conv != (key,):
                     conv, position, start = (key,), 0, 0
                 end = start + size
                 stop = end - len(END) - 1
-                for name, value in (("position", position), ("start", start), ("example_chars", end if target else None), ("loss_start", stop - reply if target else None), ("loss_end", stop if target else None)):
-                    rows[name].append(value)
+                out.append((key, position, rendered, start, *((end, stop - reply, stop) if target else (None, None, None))))
                 position, start = position + 1, end
-            longs = {name: pa.array(values, pa.int64()) for name, values in rows.items()}
-            yield pa.RecordBatch.from_pydict({"conv_id": batch.column("conv_id"), "position": longs["position"], "rendered": batch.column("rendered")} | longs | {}).select(["conv_id", "position", "rendered", "start", "example_chars", "loss_start", "loss_end"])
+            yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, row, strict=True)) for row in out], ARROW)
 
     return turns.mapInArrow(place, TURNS)
 
 
 def example_texts(turns: DataFrame) -> DataFrame:
-    """Flat examples: conv_id, position of the target, text, loss_start, loss_end. As long as the prefixes together."""
-    earlier = turns.select("conv_id", F.col("position").alias("p"), "rendered")
-    targets = turns.where("loss_end is not null").select("conv_id", "position", "loss_start", "loss_end")
-    joined = targets.join(earlier, targets.conv_id.eqNullSafe(earlier.conv_id) & (earlier.p <= targets.position)).select(targets["*"], "p", "rendered")
-    parts = F.array_sort(F.collect_list(F.struct("p", "rendered")))
-    return joined.groupBy("conv_id", "position", "loss_start", "loss_end").agg(F.array_join(F.transform(parts, lambda x: x["rendered"]), "").alias("text"))
+    """Flat examples: conv_id, position of the target, text, loss_start, loss_end.
+
+    Each conversation is put together once and every example is cut from it; the texts are as long as the prefixes
+    together, so this is for conversations whose examples one row each may hold.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("position", "rendered")))
+    whole = turns.groupBy(F.col("conv_id").alias("conv")).agg(F.array_join(F.transform(parts, lambda x: x["rendered"]), "").alias("whole"))
+    targets = turns.where("loss_end is not null")
+    joined = targets.join(whole, F.col("conv_id").eqNullSafe(F.col("conv")))
+    return joined.select("conv_id", "position", "loss_start", "loss_end", F.substring("whole", F.lit(1), F.col("example_chars").cast("int")).alias("text"))
 
 
 def digest(turns: DataFrame) -> DataFrame:

@@ -59,7 +59,9 @@ def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
         total = np.zeros((width, width))
         for batch in batches:
             m = _matrix(batch.column("v"), width)
-            m = m / np.maximum(np.sqrt((m / max(1.0, np.abs(m).max(initial=1.0))) ** 2 @ np.ones((width, 1))) * max(1.0, np.abs(m).max(initial=1.0)), 1.0)
+            largest = np.maximum(np.abs(m).max(1, initial=0.0), 1.0)[:, None]
+            m = m / largest  # squares stay finite
+            m = m / np.maximum(np.sqrt((m * m).sum(1)), 1e-30)[:, None]
             total += m.T @ m
         yield pa.RecordBatch.from_pydict({"row": pa.array(range(width), pa.int32()), "at": pa.array([list(range(width))] * width, pa.list_(pa.int32())), "value": pa.array(list(total), pa.list_(pa.float64()))})
 

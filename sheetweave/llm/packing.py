@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import bound_batches, stash
 
 #: Large lengths are over this part of a sequence; groups they form at most; rounds of column generation at most.
 SMALL, GROUPS, ROUNDS = 1 / 8, 64, 1_000
@@ -229,7 +229,9 @@ def tokenize(documents: DataFrame, tokenizer: str, capacity: int, end_id: int =
                     number.append(int(seen[n]))
                     seen[n] += 1
                 yield pa.RecordBatch.from_pydict({"doc_id": keys.take(pa.array(row, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(row), pa.int32()), "number": pa.array(number, pa.int64())})
+        encoder.close()
 
+    bound_batches(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stash(texts.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"), "pack-pieces")
 

@@ -191,6 +191,7 @@ def write_shards(documents: DataFrame, tokenizer: str, end_id: int = 0, folder:
                     number, ids, counts, tokens, held = number + 1, [], [], [], 0
         if ids:
             yield flush()
+        encoder.close()
 
     arrow = pa.schema([("shard", pa.int64()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
     bound_batches(spark)

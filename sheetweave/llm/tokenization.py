@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import lru_cache
@@ -28,12 +29,28 @@ MARK, LETTER = "\x1f", "[A-Za-zÀ-ÖØ-öø-ÿ]"
 
 
 @lru_cache(maxsize=4)
-def load(path: str):
-    """The tokenizer of a file, once for each worker process, on the worker's own core."""
+def load(path: str, spaced: bool):
+    """(tokenizer, whether each id begins (`spaced`) or ends a word), once for each worker process, on its own core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    vocabulary = tokenizer.get_vocab()
+    edge = np.zeros(max(vocabulary.values()) + 1, bool)
+    edge[[i for t, i in vocabulary.items() if (t.startswith(SPACE) if spaced else t.endswith(WORD_END))]] = True
+    return tokenizer, edge
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: worker processes stay for the tasks after it."""
+    import ctypes
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def own_rows(texts: pa.Array, start: int, end: int) -> pa.Array:
@@ -51,11 +68,8 @@ class BatchEncoder:
     """
 
     def __init__(self, path: str, spaced: bool):
-        self.tokenizer, self.spaced = load(path), spaced
+        (self.tokenizer, self.edge), self.spaced = load(path, spaced), spaced
         self.plain = ("^ " if spaced else "^") + LETTER + "+$"
-        vocabulary = self.tokenizer.get_vocab()
-        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.edge[[i for t, i in vocabulary.items() if (t.startswith(SPACE) if spaced else t.endswith(WORD_END))]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -107,6 +121,10 @@ class BatchEncoder:
             yield at, end, *self._encode(own_rows(texts, at, end))
             at = end
 
+    def close(self) -> None:
+        self._forget()
+        release()
+
     def _pieces(self, texts: pa.Array):
         """(list array of pieces, whether each text must be cut by SAFE_CUT instead)."""
         if not self.spaced:

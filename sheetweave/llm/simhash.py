@@ -167,7 +167,7 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(links(distinct.select("fp"), radius), lambda df: stash(df, "simhash-components"))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     component = rooted.join(named, "root").select("fp", "component_id")
     return prints.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -179,6 +179,8 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
 WIDE, BAND, TARGET, REACHED = 128, 24, 0.85, 0.98
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
+#: Links a task holds before it joins them.
+MOST_LINKS = 1_000_000
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
@@ -259,8 +261,29 @@ def run_links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nda
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def stars(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots) of the components of links (rows of two fingerprints): each node but the smallest with the smallest."""
+    nodes, back = np.unique(np.concatenate([pairs[:, :2], pairs[:, 2:]]), axis=0, return_inverse=True)
+    a, b = back.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[other], nodes[label[other]]
+
+
 def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
-    """(a, b) as hexadecimal fingerprints: links between distinct fingerprints (low, high) within the radius."""
+    """(a, b) as hexadecimal fingerprints: what links of distinct fingerprints (low, high) within the radius connect.
+
+    A large group of copies meets in many bands and variants, each time in other parts; every task joins what it has
+    found and hands on a star for each component, so that the group's edges stay few.
+    """
     bits, bands = bands_for(rows)
     rng = np.random.default_rng(7)
     chosen = [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(bands)]
@@ -283,10 +306,12 @@ def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
         names = lambda x: pa.array([f"{int(h):016x}{int(w):016x}" for w, h in x], pa.string())
         rest_keys, rest = np.zeros(0, np.int64), np.zeros((0, 2), np.uint64)
 
-        def linked(keys, prints):
-            a, b = run_links(keys, prints, radius)
-            pairs = np.unique(np.concatenate([prints[a], prints[b]], 1), axis=0)
-            return pa.RecordBatch.from_arrays([names(pairs[:, :2]), names(pairs[:, 2:])], ["a", "b"])
+        found, size = [], 0
+
+        def contract():
+            """The task's links so far as one star for each of its components."""
+            nodes, roots = stars(np.concatenate([*found, np.zeros((0, 4), np.uint64)]))
+            return np.concatenate([nodes, roots], 1)
 
         for batch in batches:
             keys = np.concatenate([rest_keys, np.asarray(batch.column("key"))])
@@ -295,9 +320,18 @@ def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             rest_keys, rest = keys[cut:], prints[cut:]
             if cut:
-                yield linked(keys[:cut], prints[:cut])
+                a, b = run_links(keys[:cut], prints[:cut], radius)
+                found.append(np.concatenate([prints[a], prints[b]], 1))
+                size += len(a)
+            if size > MOST_LINKS:
+                found = [contract()]
+                size = len(found[0])
         if len(rest_keys):
-            yield linked(rest_keys, rest)
+            a, b = run_links(rest_keys, rest, radius)
+            found.append(np.concatenate([rest[a], rest[b]], 1))
+        pairs = contract()
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([names(pairs[:, :2]), names(pairs[:, 2:])], ["a", "b"])
 
     dealt = distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(collide, "a string, b string").distinct()
@@ -323,7 +357,7 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
     roots = connected_components(edges, lambda df: stash(df, "simhash-components"))
     name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     rooted = distinct.withColumn("name", name).join(roots, F.col("name") == F.col("node"), "left").select("low", "high", "least", F.coalesce("root", "name").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
     return prints.join(rooted.join(named, "root").select("low", "high", "component_id"), ["low", "high"]).select("doc_id", "component_id")
 
 

@@ -176,7 +176,7 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
 
 
 #: Bits of a wide fingerprint; bits in a band at least; share of pairs at TARGET similarity that some band brings together.
-WIDE, BAND, TARGET, REACHED = 128, 24, 0.85, 0.98
+WIDE, BAND, TARGET, REACHED = 128, 24, 0.8, 0.98
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
 #: Links a task holds before it joins them.
@@ -184,25 +184,24 @@ MOST_LINKS = 1_000_000
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
-    """128 bits: majority of the shingles' hashes under two seeds; where a bit has as many votes for as against it, the
-    smallest hash decides, so that short texts do not lean to zeros."""
+    """128 bits: majority of the distinct shingles' XXH64 and of a second hash made from it. Repeated lines count once,
+    and where a bit has as many votes for as against it, the smallest hash decides, so that short texts do not lean
+    to zeros."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0, 0
-    n = max(1, len(words) - shingle + 1)
-    total, least = np.zeros((2, 64), np.int64), np.full(2, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, n, SLICE):
-        part = words[a : min(n, a + SLICE) + shingle - 1]
-        grams = [b" ".join(part)] if len(part) <= shingle else list(map(b" ".join, zip(*(part[i:] for i in range(shingle)), strict=False)))
-        for k in (0, 1):
-            hashes = np.fromiter((xxh64_intdigest(g, 42 + k) for g in grams), np.uint64, len(grams))
-            total[k] += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            least[k] = min(least[k], hashes.min())
-    tie = np.unpackbits(least.view(np.uint8).reshape(2, 8), axis=1, bitorder="little").astype(bool)
-    bits = np.where(total * 2 == n, tie, total * 2 > n)
-    low, high = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    first = np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64))
+    mixed = (first ^ (first >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    both = np.stack([first, mixed ^ (mixed >> np.uint64(33))], 1)
+    total = np.zeros(WIDE, np.int64)
+    for a in range(0, len(both), SLICE):
+        total += np.unpackbits(both[a : a + SLICE].view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    tie = np.unpackbits(both[0].view(np.uint8), bitorder="little").astype(bool)
+    low, high = np.packbits(np.where(total * 2 == len(first), tie, total * 2 > len(first)), bitorder="little").view("<u8")
     return int(low), int(high)
 
 

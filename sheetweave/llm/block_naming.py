@@ -77,7 +77,8 @@ def exact_groups(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of=_
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
     named = name_documents(documents, block_bytes, hash_of)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = named.groupBy("level", "name").agg(F.count("*").alias("group_size"), first.alias("first"))
+    # a table of its own: the join below is then a plain one, of which AQE splits large groups
+    groups = stash(named.groupBy("level", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "dedup-groups")
     joined = named.join(groups, ["level", "name"])
     return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
 

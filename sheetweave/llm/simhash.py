@@ -177,23 +177,62 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
 
 #: Bits of a wide fingerprint; bits in a band at least; share of pairs at TARGET similarity that some band brings together.
 WIDE, BAND, TARGET, REACHED = 128, 24, 0.8, 0.98
+#: One in so many texts tells which shingles are common; common shingles known at most.
+SAMPLED, COMMON = 16, 500_000
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
 #: Links a task holds before it joins them.
 MOST_LINKS = 1_000_000
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the text's shingles; a lone 0 without a word."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(1, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64))
+
+
+def prefix(grams: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles of a sorted set of which sets of this Jaccard similarity share one: all but as many as they must
+    share, and one. Any order that holds for all sets will do; here the rarest come first, so that few sets meet.
+    `common` are the sorted shingles known to be common, `counts` how common."""
+    length = len(grams) - int(np.ceil(similarity * len(grams) - 1e-9)) + 1
+    if len(common) == 0:
+        return grams[:length]
+    at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+    return grams[np.argsort(np.where(common[at] == grams, counts[at], 0), kind="stable")[:length]]
+
+
+def common_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts), sorted, of the shingles most common in a sample of the texts, COMMON at most."""
+
+    def grams(batches):
+        for batch in batches:
+            found = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gram"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text")
+    counted = sample.mapInArrow(grams, "gram long").groupBy("gram").count().where("count > 2").orderBy(F.desc("count"), "gram").limit(COMMON).toArrow()
+    found, counts = np.asarray(counted["gram"]).view(np.uint64), np.asarray(counted["count"])
+    order = np.argsort(found)
+    return found[order], counts[order]
+
+
 def wide_fingerprint(text: str | None, shingle: int) -> tuple[int, int]:
     """128 bits: majority of the distinct shingles' XXH64 and of a second hash made from it. Repeated lines count once,
     and where a bit has as many votes for as against it, the smallest hash decides, so that short texts do not lean
     to zeros."""
-    from xxhash import xxh64_intdigest
+    return _wide(shingle_set(text, shingle))
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+
+def _wide(first: np.ndarray) -> tuple[int, int]:
+    if not first.any():  # no word
         return 0, 0
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-    first = np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64))
     mixed = (first ^ (first >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
     both = np.stack([first, mixed ^ (mixed >> np.uint64(33))], 1)
@@ -277,29 +316,13 @@ def stars(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
-    """(a, b) as hexadecimal fingerprints: what links of distinct fingerprints (low, high) within the radius connect.
+def meeting_links(keyed: DataFrame, radius: int) -> DataFrame:
+    """(a, b) as hexadecimal fingerprints: what links within the radius connect among fingerprints (key, low, high) that
+    share a key.
 
-    A large group of copies meets in many bands and variants, each time in other parts; every task joins what it has
-    found and hands on a star for each component, so that the group's edges stay few.
+    A large group of copies meets under many keys, each time in other parts; every task joins what it has found and
+    hands on a star for each component, so that the group's edges stay few.
     """
-    bits, bands = bands_for(rows)
-    rng = np.random.default_rng(7)
-    chosen = [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(bands)]
-
-    def emit(batches):
-        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-        flips = np.concatenate([[0], powers])
-        for batch in batches:
-            low, high = batch.column("low"), batch.column("high")
-            both = np.stack([np.asarray(low), np.asarray(high)], 1)
-            cells = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int64)
-            for band, columns in enumerate(chosen):
-                keys = ((cells[:, columns] @ powers)[:, None] ^ flips[None, :]) + (np.int64(band) << np.int64(bits))
-                for a in range(0, len(keys), 2_000):
-                    part = keys[a : a + 2_000]
-                    many = np.repeat(both[a : a + 2_000], bits + 1, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.ascontiguousarray(many[:, 0])), pa.array(np.ascontiguousarray(many[:, 1]))], ["key", "low", "high"])
 
     def collide(batches):
         names = lambda x: pa.array([f"{int(h):016x}{int(w):016x}" for w, h in x], pa.string())
@@ -332,27 +355,55 @@ def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
         if len(pairs):
             yield pa.RecordBatch.from_arrays([names(pairs[:, :2]), names(pairs[:, 2:])], ["a", "b"])
 
-    dealt = distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long").repartition("key").sortWithinPartitions("key")
+    dealt = keyed.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(collide, "a string, b string").distinct()
 
 
+def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
+    """(a, b) as meeting_links(), of distinct fingerprints (low, high) that meet in ball-hashed bands; for fingerprints
+    without texts, and not exact: some pairs within the radius meet in no band.
+    """
+    bits, bands = bands_for(rows)
+    rng = np.random.default_rng(7)
+    chosen = [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(bands)]
+
+    def emit(batches):
+        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
+        flips = np.concatenate([[0], powers])
+        for batch in batches:
+            low, high = batch.column("low"), batch.column("high")
+            both = np.stack([np.asarray(low), np.asarray(high)], 1)
+            cells = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int64)
+            for band, columns in enumerate(chosen):
+                keys = ((cells[:, columns] @ powers)[:, None] ^ flips[None, :]) + (np.int64(band) << np.int64(bits))
+                for a in range(0, len(keys), 2_000):
+                    part = keys[a : a + 2_000]
+                    many = np.repeat(both[a : a + 2_000], bits + 1, axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.ascontiguousarray(many[:, 0])), pa.array(np.ascontiguousarray(many[:, 1]))], ["key", "low", "high"])
+
+    return meeting_links(distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long"), radius)
+
+
 def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row: rows whose wide fingerprints connect them within radius_of(similarity).
 
-    Fingerprints of 64 bits are within 3 bits only at similarities near 1; of 128 bits, bands are ball-hashed as the
-    halves above are, each band's radius 1 from both sides, and a collision counts if all bits are within the radius.
+    Candidates are rows that share a shingle of their prefixes, which no pair of this similarity fails to do, however
+    many rows there are; a meeting counts if the fingerprints are within the radius.
     """
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    bound_batches(documents.sparkSession)
+    common, counts = common_shingles(texts, shingle)
 
     def hashed(batches):
         for batch in batches:
-            found = np.array([wide_fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["doc_id", "low", "high"])
-
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bound_batches(documents.sparkSession)
-    prints = stash(texts.mapInArrow(hashed, "doc_id long, low long, high long"), "simhash-wide")
-    distinct = stash(prints.groupBy("low", "high").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = wide_links(distinct, distinct.count(), radius_of(similarity))
+            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            found = np.array([_wide(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            keys = pa.array([prefix(x, similarity, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), keys], ["doc_id", "low", "high", "keys"])
+
+    prints = stash(texts.mapInArrow(hashed, "doc_id long, low long, high long, keys array<long>"), "simhash-wide")
+    edges = meeting_links(prints.select(F.explode("keys").alias("key"), "low", "high"), radius_of(similarity))
+    distinct = prints.groupBy("low", "high").agg(F.min("doc_id").alias("least"))
     roots = connected_components(edges, lambda df: stash(df, "simhash-components"))
     name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     rooted = distinct.withColumn("name", name).join(roots, F.col("name") == F.col("node"), "left").select("low", "high", "least", F.coalesce("root", "name").alias("root"))

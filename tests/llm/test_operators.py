@@ -570,6 +570,32 @@ def test_near_copies_go_and_other_documents_stay(spark):
     assert clean <= kept and len(kept - clean) <= 0.02 * len(copies)
 
 
+def near_pairs(rng, n, words=300):
+    """Pairs of texts, and how many of them are of Jaccard similarity 0.8 to 0.83 over five words."""
+    pool = [f"w{i}" for i in range(4000)]
+    pairs = []
+    while len(pairs) < n:
+        text = rng.choice(pool, words).tolist()
+        other = list(text)
+        for at in rng.choice(words, 6, replace=False):
+            other[at] = f"c{rng.integers(10**9)}"
+        a, b = (set(zip(*(t[i:] for i in range(5)), strict=False)) for t in (text, other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.83:
+            pairs.append((" ".join(text), " ".join(other)))
+    return pairs
+
+
+def test_every_pair_at_the_similarity_shares_a_key():
+    rng = np.random.default_rng(8)
+    for text, other in near_pairs(rng, 300):
+        a, b = (simhash.shingle_set(t, 5) for t in (text, other))
+        for common in (np.zeros(0, np.uint64), np.unique(rng.choice(a, 100)), np.union1d(a, b)):
+            counts = rng.integers(1, 9, len(common))
+            x, y = (simhash.prefix(g, 0.8, common, counts) for g in (a, b))
+            assert set(x.tolist()) & set(y.tolist())
+            assert len(x) <= 0.2 * len(a) + 1
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
     import corpus_pipeline
 

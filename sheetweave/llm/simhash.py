@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bound_batches, stash
+from .common import bound_batches, join_lookup, stash
 
 #: Differing bits up to which fingerprints link, and members from which a bucket is divided further.
 RADIUS, BUCKET = 3, 4096
@@ -181,6 +181,8 @@ WIDE, BAND, TARGET, REACHED = 128, 24, 0.8, 0.98
 SAMPLED, COMMON = 16, 500_000
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
+#: Rows up to which a group of candidates is verified as a whole; larger ones are dealt by length.
+WHOLE_GROUP = 4_096
 #: Links a task holds before it joins them.
 MOST_LINKS = 1_000_000
 
@@ -245,12 +247,13 @@ def _wide(first: np.ndarray) -> tuple[int, int]:
 
 
 def radius_of(similarity: float) -> int:
-    """Differing bits of 128 within which all but two or three of a hundred pairs of this Jaccard similarity lie.
+    """Differing bits of 128 within which all pairs of this Jaccard similarity lie but one in a million: five deviations
+    above the mean. Whether such a pair is similar is for its shingles to say.
 
     Jaccard s is cosine 2 s / (1 + s) between equally long sets; a bit differs with a chance of angle / pi.
     """
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + 2 * np.sqrt(WIDE * share * (1 - share)))
+    return int(WIDE * share + 5 * np.sqrt(WIDE * share * (1 - share)))
 
 
 def bands_for(rows: int) -> tuple[int, int]:
@@ -384,14 +387,86 @@ def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
     return meeting_links(distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long"), radius)
 
 
-def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of every row: rows whose wide fingerprints connect them within radius_of(similarity).
+def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what is connected by pairs of sets (sorted, distinct) of this Jaccard similarity, no others.
+
+    Only sets that share an element of their prefixes, rarest elements first, are compared, and only while unconnected.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, tokens, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    parts = np.split(rank[tokens], np.cumsum(sizes)[:-1])
+    lengths = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    keys = np.concatenate([np.sort(x)[:n] for x, n in zip(parts, lengths, strict=True)])
+    owners = np.repeat(np.arange(len(sets)), lengths)
+    order = np.argsort(keys, kind="stable")
+    keys, owners = keys[order], owners[order]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])
+    mark, parent, links = np.zeros(len(counts), bool), list(range(len(sets))), []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for r in np.flatnonzero(np.diff(starts) > 1):
+        members = owners[starts[r] : starts[r + 1]]
+        roots = np.array([root(x) for x in members.tolist()])
+        for h in range(len(members) - 1):
+            if (roots == roots[0]).all():
+                break
+            head = members[h]
+            at = h + 1 + np.flatnonzero(roots[h + 1 :] != roots[h])
+            at = at[np.minimum(sizes[members[at]], sizes[head]) >= similarity * np.maximum(sizes[members[at]], sizes[head]) - 1e-9]
+            if len(at) == 0:
+                continue
+            mark[parts[head]] = True
+            shared = np.add.reduceat(mark[np.concatenate([parts[x] for x in members[at]])], np.concatenate([[0], np.cumsum(sizes[members[at]])[:-1]]), dtype=np.int64)
+            mark[parts[head]] = False
+            for x in at[shared >= similarity * (sizes[members[at]] + sizes[head] - shared) - 1e-9].tolist():
+                if roots[x] != roots[h]:
+                    links.append((int(head), int(members[x])))
+                    parent[roots[x]] = roots[h]
+                    roots[roots == roots[x]] = roots[h]
+    return links
+
+
+def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) rows of this Jaccard similarity of their shingles, enough to connect all that are connected within each
+    group of `members` (row, text, group, class)."""
+
+    def verify(batches):
+        key, rows, sets = None, [], []
+
+        def solve():
+            found = np.array(rows, np.int64)[np.array(jaccard_links(sets, similarity) if len(sets) > 1 else [], np.int64).reshape(-1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
+
+        for batch in batches:
+            for row, text, *own in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "group", "class")), strict=True):
+                if own != key:
+                    if len(sets) > 1:
+                        yield solve()
+                    key, rows, sets = own, [], []
+                rows.append(row)
+                sets.append(shingle_set(text, shingle))
+        if len(sets) > 1:
+            yield solve()
+
+    return members.select("row", "text", "group", "class").repartition("group", "class").sortWithinPartitions("group", "class").mapInArrow(verify, "a long, b long").distinct()
+
+
+def similar_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(row, doc_id, root) of every row of a written table (row, doc_id, text): rows connected by pairs of this Jaccard
+    similarity have the same root, the row of one of them.
 
     Candidates are rows that share a shingle of their prefixes, which no pair of this similarity fails to do, however
-    many rows there are; a meeting counts if the fingerprints are within the radius.
+    many rows there are, and whose fingerprints are within radius_of(similarity). Groups of candidates are gathered,
+    and pairs in them count if their shingles say so.
     """
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bound_batches(documents.sparkSession)
+    bound_batches(texts.sparkSession)
     common, counts = common_shingles(texts, shingle)
 
     def hashed(batches):
@@ -399,16 +474,36 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             found = np.array([_wide(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
             keys = pa.array([prefix(x, similarity, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), keys], ["doc_id", "low", "high", "keys"])
+            sizes = pa.array([len(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), sizes, keys], ["row", "doc_id", "low", "high", "size", "keys"])
 
-    prints = stash(texts.mapInArrow(hashed, "doc_id long, low long, high long, keys array<long>"), "simhash-wide")
+    prints = stash(texts.mapInArrow(hashed, "row long, doc_id long, low long, high long, size long, keys array<long>"), "simhash-wide")
     edges = meeting_links(prints.select(F.explode("keys").alias("key"), "low", "high"), radius_of(similarity))
-    distinct = prints.groupBy("low", "high").agg(F.min("doc_id").alias("least"))
     roots = connected_components(edges, lambda df: stash(df, "simhash-components"))
     name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
-    rooted = distinct.withColumn("name", name).join(roots, F.col("name") == F.col("node"), "left").select("low", "high", "least", F.coalesce("root", "name").alias("root"))
-    named = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-named")
-    return prints.join(rooted.join(named, "root").select("low", "high", "component_id"), ["low", "high"]).select("doc_id", "component_id")
+    loose = prints.select("row", "size", name.alias("node")).join(roots, "node", "left").select("row", "size", F.coalesce("root", "node").alias("group"))
+    groups = loose.groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1")
+    members = stash(loose.join(groups, "group"), "simhash-members")
+    # sizes of similar sets are in the same class or in adjacent ones: in a large group a row is dealt to its own and the next
+    own = F.floor(F.log("size") / -float(np.log(similarity)) + 1e-9)
+    members = members.select("row", "group", F.explode(F.when(F.col("rows") <= WHOLE_GROUP, F.array(F.lit(-1).cast("long"))).otherwise(F.array(own, own + 1))).alias("class"))
+    near = verified_links(join_lookup(texts, members, "row", members.count(), "inner"), shingle, similarity)
+    joined = connected_components(near, lambda df: stash(df, "simhash-verified"))
+    return stash(prints.select("row", "doc_id").join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root")), "simhash-rows")
+
+
+def _numbered(documents: DataFrame) -> DataFrame:
+    return stash(documents.withColumn("_row", F.monotonically_increasing_id()), "simhash-numbered")
+
+
+def _texts(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of every row: component_id is the smallest doc_id of those connected by similar pairs."""
+    rows = similar_rows(_texts(_numbered(documents.select("doc_id", "text"))), shingle, similarity)
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
 def drop_near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -596,6 +596,46 @@ def test_every_pair_at_the_similarity_shares_a_key():
             assert len(x) <= 0.2 * len(a) + 1
 
 
+def test_documents_below_the_similarity_stay(spark):
+    rng = np.random.default_rng(9)
+    pool = [f"w{i}" for i in range(4000)]
+    docs, far = [], set()
+    for i in range(120):
+        text = rng.choice(pool, 300).tolist()
+        other = list(text)
+        for at in rng.choice(300, 9, replace=False):
+            other[at] = f"c{rng.integers(10**9)}"
+        a, b = (set(zip(*(t[j:] for j in range(5)), strict=False)) for t in (text, other))
+        if 0.7 <= len(a & b) / len(a | b) < 0.79:
+            docs += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+            far.add(2 * i + 1)
+    assert len(far) > 60
+    pairs = near_pairs(rng, 60)
+    docs += [(1000 + 2 * i + j, pair[j]) for i, pair in enumerate(pairs) for j in range(2)]
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == {d for d, _ in docs if d < 1000 or d % 2 == 0}
+
+
+def test_jaccard_links_connect_what_is_similar():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        base = [rng.choice(60, 25, replace=False) for _ in range(3)]
+        sets = [np.unique(np.concatenate([b[rng.random(25) < 0.93], rng.choice(60, 1)])).astype(np.uint64) for b in base for _ in range(8)]
+        near = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        every = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+        found = simhash.jaccard_links(sets, 0.8)
+        assert all(near(sets[a], sets[b]) for a, b in found)
+
+        def labels(edges, n=len(sets)):
+            label = list(range(n))
+            for a, b in edges:
+                x, y = label[a], label[b]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+            return label
+
+        assert labels(found) == labels(every)
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
     import corpus_pipeline
 

@@ -507,7 +507,14 @@ def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0
 
 
 def drop_near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows whose doc_id names their component, with all their columns; a component without ids keeps its rows."""
-    groups = similar_groups(documents, shingle, similarity)
-    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Of each component the row with the smallest doc_id (null last; among rows of one id, one of them), with all its
+    columns. Rows are told apart by numbers of their own, so ids may be null or repeated."""
+    numbered = _numbered(documents)
+    rows = similar_rows(_texts(numbered), shingle, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    # components of one row, which are most, need no grouping: their root is the row
+    shared = rows.where("root <> row").select("root").distinct()
+    members = stash(rows.join(shared, "root"), "simhash-copies")
+    kept = members.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    gone = members.join(kept, "row", "left_anti").select(F.col("row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*documents.columns)

@@ -636,6 +636,17 @@ def test_jaccard_links_connect_what_is_similar():
         assert labels(found) == labels(every)
 
 
+def test_near_copies_go_by_row_not_by_id(spark):
+    rng = np.random.default_rng(10)
+    (a, b), (c, d), (e, f), (g, h) = near_pairs(rng, 4)
+    other = [" ".join(rng.choice([f"u{i}" for i in range(900)], 200)) for _ in range(4)]
+    docs = [(1, a), (None, b), (None, other[0]), (None, other[1]), (3, c), (5, d), (5, other[2]), (7, e), (7, f), (None, g), (None, h), (9, other[3])]
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept[(7, e)] + kept[(7, f)] == 1 and kept[(None, g)] + kept[(None, h)] == 1
+    sure = Counter([(1, a), (None, other[0]), (None, other[1]), (3, c), (5, other[2]), (9, other[3])])
+    assert sure <= kept and kept.total() == sure.total() + 2
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
     import corpus_pipeline
 

@@ -22,3 +22,12 @@ def test_query_agrees_with_its_sql(spark, name):
 
 def test_every_sql_belongs_to_a_query():
     assert set(plans.ORACLE_SQL) <= set(plans.QUERIES)
+
+
+@pytest.mark.parametrize("name", ["gr34_group_with_links", "gr35_one_to_one"])
+def test_links_cover_all_units(spark, name):
+    from sheetweave.plans.run_queries import equipment_drawings
+
+    found = plans.QUERIES[name](spark, FOLDER)
+    keys = found.select(found[found.columns[0]].alias("key"))
+    assert keys.join(equipment_drawings(spark, FOLDER), "key").select("unit").distinct().count() > 20

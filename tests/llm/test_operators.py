@@ -647,6 +647,20 @@ def test_near_copies_go_by_row_not_by_id(spark):
     assert sure <= kept and kept.total() == sure.total() + 2
 
 
+def test_language_stage_drops_what_no_language_knows_and_needs_labels(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "zxqj kwvbt qqxz pfft wkjh zzgh", None), (-2, "日本語 テスト の 文章", None), (-3, "1 2 3", None)]
+    both = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, DATA).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect()}
+    unlabelled = both.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    assert corpus_pipeline.language_id(spark, unlabelled, DATA).count() == both.count()
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
     import corpus_pipeline
 

@@ -1,10 +1,11 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own whose context is all turns before it and whose only trainable
-text is that reply. The contexts of one conversation are prefixes of each other, so the formatted conversation is
-held once, a row per turn, and an example is the row of its target turn: its text is the formatted stream up to
-`example_chars`, its loss mask is `loss_start` to `loss_end`. A conversation of any length thus costs what its turns
-cost; `example_texts` spells examples out where flat texts are wanted.
+Every assistant turn becomes an example of its own: a row whose text is all turns before it and the reply, and whose
+loss mask, `loss_start` to `loss_end`, holds that reply alone. Examples grow with the square of a conversation, so
+texts are spelled in full up to SPELLED code points; the text of a longer example goes on where the example (or piece)
+before it ends, and `text_start` says how much of its context that is. A last row without a mask holds turns after the
+last reply, and rows without a mask also hold what a long stretch without a reply says, so that no row is longer than
+SPELLED and one turn, and a task keeps no more than that of a conversation.
 
 Defined results: null text or role counts as empty; rows of one conversation are ordered by turn (null first), role
 and text, so ties and repeated rows are turns of their own in a fixed order; null conv_id is a conversation; columns
@@ -21,9 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
-RENDERED = re.compile(re.escape(START) + r"([^\n]*)\n(.*)" + re.escape(END) + "\n", re.S)
-TURNS = "conv_id long, position long, rendered string, start long, example_chars long, loss_start long, loss_end long"
-ARROW = pa.schema([(c, pa.string() if c == "rendered" else pa.int64()) for c in ("conv_id", "position", "rendered", "start", "example_chars", "loss_start", "loss_end")])
+RENDERED = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + "\n", re.S)
+#: Code points up to which an example is spelled in full.
+SPELLED = 200_000
+#: Offsets are code points in the conversation's formatted stream; `position` is that of the last turn in the row.
+EXAMPLES = "conv_id long, position long, text_start long, text string, example_chars long, loss_start long, loss_end long"
+ARROW = pa.schema([(c, pa.string() if c == "text" else pa.int64()) for c in ("conv_id", "position", "text_start", "text", "example_chars", "loss_start", "loss_end")])
 
 
 def escape_text(col):
@@ -44,12 +48,9 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape_text(role))
 
 
-def expand_examples(conversations: DataFrame) -> DataFrame:
-    """A row per turn (columns TURNS), sorted by conversation and position within partitions.
-
-    Rows with `loss_end` are the examples. Offsets are code points in the conversation's formatted stream. The pass
-    keeps one conversation's length in memory, never its texts.
-    """
+def expand_examples(conversations: DataFrame, spelled: int = SPELLED) -> DataFrame:
+    """The examples (columns EXAMPLES), by conversation and position within partitions; rows without `loss_end` are
+    context that no reply follows in the same row."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     turns = (
         conversations.select(F.col("conv_id").cast("long"), "turn", blank("role").alias("role"), blank("text").alias("text"))
@@ -61,47 +62,58 @@ def expand_examples(conversations: DataFrame) -> DataFrame:
             F.concat(F.lit(START), escape_role("role"), F.lit("\n"), escape_text("text"), F.lit(END + "\n")).alias("rendered"),
             F.char_length(escape_text("text")).alias("reply"),
         )
-        .withColumn("size", F.char_length("rendered"))
     )
 
-    def place(batches):
-        conv, position, start = (), 0, 0
-        for batch in batches:
-            out: list[tuple] = []
-            for key, rendered, target, reply, size in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "target", "reply", "size")), strict=True):
-                if conv != (key,):
-                    conv, position, start = (key,), 0, 0
-                end = start + size
-                stop = end - len(END) - 1
-                out.append((key, position, rendered, start, *((end, stop - reply, stop) if target else (None, None, None))))
-                position, start = position + 1, end
-            yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, row, strict=True)) for row in out], ARROW)
-
-    return turns.mapInArrow(place, TURNS)
-
+    def expand(batches):
+        conv, position, total, whole, since = (), -1, 0, [], []
+        out: list[tuple] = []
 
-def example_texts(turns: DataFrame) -> DataFrame:
-    """Flat examples: conv_id, position of the target, text, loss_start, loss_end.
+        def put(loss):
+            """A row that ends with the turn at `position`."""
+            if total <= spelled:
+                text, since[:] = "".join(whole), []
+            else:
+                text = "".join(since)
+                since.clear()
+                whole.clear()
+            out.append((conv[0], position, total - len(text), text, total, *loss))
 
-    Each conversation is put together once and every example is cut from it; the texts are as long as the prefixes
-    together, so this is for conversations whose examples one row each may hold.
-    """
-    parts = F.array_sort(F.collect_list(F.struct("position", "rendered")))
-    whole = turns.groupBy(F.col("conv_id").alias("conv")).agg(F.array_join(F.transform(parts, lambda x: x["rendered"]), "").alias("whole"))
-    targets = turns.where("loss_end is not null")
-    joined = targets.join(whole, F.col("conv_id").eqNullSafe(F.col("conv")))
-    return joined.select("conv_id", "position", "loss_start", "loss_end", F.substring("whole", F.lit(1), F.col("example_chars").cast("int")).alias("text"))
-
-
-def digest(turns: DataFrame) -> DataFrame:
-    """What the formatted conversations say when parsed again, a row per conversation.
-
-    turns_sha256 is over role, line feed, text, line feed of each turn; loss_chars and loss_sha256 over the unescaped
-    text under the loss masks; formatted_chars counts all examples, contexts included, and turns after the last reply.
+        for batch in batches:
+            for key, rendered, target, reply in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "target", "reply")), strict=True):
+                if conv != (key,):
+                    if since:
+                        put((None, None))
+                    conv, position, total, whole, since = (key,), -1, 0, [], []
+                position, total = position + 1, total + len(rendered)
+                since.append(rendered)
+                if total <= spelled:
+                    whole.append(rendered)
+                if target:
+                    stop = total - len(END) - 1
+                    put((stop - reply, stop))
+                elif total > spelled and sum(map(len, since)) > spelled:  # a stretch without a reply
+                    put((None, None))
+                if sum(len(r[3]) for r in out[-50:]) > 8_000_000 or len(out) >= 5_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, r, strict=True)) for r in out], ARROW)
+                    out.clear()
+        if since:
+            put((None, None))
+        yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, r, strict=True)) for r in out], ARROW)
+
+    return turns.mapInArrow(expand, EXAMPLES)
+
+
+def digest(examples: DataFrame) -> DataFrame:
+    """What the examples say when read again, a row per conversation.
+
+    turns_sha256 is over role, line feed, text, line feed of each turn, parsed from the texts; loss_chars and loss_sha256
+    over the unescaped text under the loss masks, example by example; formatted_chars counts all examples, contexts
+    included, and the stream again where turns follow the last reply.
     """
 
     def read(batches):
         columns = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "stream_chars")
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         out, conv, state = [], None, None
 
         def close():
@@ -109,29 +121,32 @@ def digest(turns: DataFrame) -> DataFrame:
             out.append((conv[0], n, turns_hash.hexdigest(), chars, loss_hash.hexdigest(), formatted + (stream if covered < stream else 0), examples, stream))
 
         for batch in batches:
-            for key, rendered, start, chars, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "rendered", "start", "example_chars", "loss_start", "loss_end")), strict=True):
+            for key, start, text, chars, loss_start, loss_end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text_start", "text", "example_chars", "loss_start", "loss_end")), strict=True):
                 if conv != (key,):
                     if conv:
                         close()
                     conv, state = (key,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, 0]
-                role, text = RENDERED.fullmatch(rendered).groups()
-                state[0] += 1
-                state[1].update(f"{unescape_role(role)}\n{unescape_text(text)}\n".encode())
-                state[6] = start + len(rendered)
+                # turns that the row before has not shown yet
+                at = state[6] - start
+                while at < len(text):
+                    turn = RENDERED.match(text, at)
+                    state[0] += 1
+                    state[1].update(f"{unescape_role(turn[1])}\n{unescape_text(turn[2])}\n".encode())
+                    at = turn.end()
+                state[6] = chars
                 if loss_end is not None:
-                    reply = unescape_text(rendered[loss_start - start : loss_end - start])
+                    reply = unescape_text(text[loss_start - start : loss_end - start])
                     state[2] += len(reply)
                     state[3].update(reply.encode())
                     state[4] += chars
                     state[5] += 1
                     state[7] = chars
             if len(out) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], columns)
-                out = []
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
+                out.clear()
         if conv:
             close()
         if out:
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], columns)
 
-    return turns.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, stream_chars long")
+    return examples.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, stream_chars long")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, stash
+from .common import BLANKS, number_rows, own_columns, stash, texts_of, without_rows
 
 #: Bytes in a block.
 BLOCK_BYTES = 4096
@@ -36,9 +36,10 @@ def _hash(salt: int):
     return lambda b: F.struct(F.xxhash64(F.lit(salt), b).alias("h"), F.xxhash64(b, F.lit(salt + 1)).alias("g"))
 
 
-def name_documents(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of=_hash) -> DataFrame:
-    """(row, doc_id, text_sha256, level, name): equal texts, and no others, share level and name. A stashed table."""
-    texts = documents.select(F.col("doc_id"), normalised().alias("norm"))
+def name_documents(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of=_hash, row: str | None = None) -> DataFrame:
+    """(row, doc_id, text_sha256, level, name): equal texts, and no others, share level and name. A stashed table. Rows
+    have the numbers of the column `row`, or numbers of their own."""
+    texts = documents.select(*([F.col(row).alias("row")] if row else []), F.col("doc_id"), normalised().alias("norm"))
     blocks = _blocks(block_bytes)
     salt = 0
     while True:
@@ -49,7 +50,8 @@ def name_documents(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of
         if names.groupBy("key").count().where("count > 1").isEmpty():
             break
         salt += 2
-    rows = stash(texts.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), F.transform(blocks, hashed).alias("keys")).withColumn("row", F.monotonically_increasing_id()), "dedup-rows")
+    number = F.col("row") if row else F.monotonically_increasing_id()
+    rows = stash(texts.select("doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), F.transform(blocks, hashed).alias("keys"), number.alias("row")), "dedup-rows")
 
     def rename(of: DataFrame, keys: str, table: DataFrame) -> DataFrame:
         """(row, names) with each key of the array replaced by its name in the table."""
@@ -73,22 +75,23 @@ def name_documents(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of
     return stash(rows.select("row", "doc_id", "text_sha256").join(done, "row"), "dedup-names")
 
 
-def exact_groups(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of=_hash) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
-    named = name_documents(documents, block_bytes, hash_of)
+def _grouped(named: DataFrame) -> DataFrame:
+    """Each named row with its group's size and the row that stays."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # a table of its own: the join below is then a plain one, of which AQE splits large groups
     groups = stash(named.groupBy("level", "name").agg(F.count("*").alias("group_size"), first.alias("first")), "dedup-groups")
-    joined = named.join(groups, ["level", "name"])
+    return named.join(groups, ["level", "name"])
+
+
+def exact_groups(documents: DataFrame, block_bytes: int = BLOCK_BYTES, hash_of=_hash) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row."""
+    joined = _grouped(name_documents(documents, block_bytes, hash_of))
     return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = exact_groups(documents).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.encode(normalised(), "UTF-8"), 256)
-    rows = documents.withColumn("_own", sha)
-    out = rows.join(kept, rows.doc_id.eqNullSafe(kept._id) & (F.col("_own") == F.col("_sha")), "left_semi")
-    if not documents.groupBy("doc_id").count().where("count > 1").isEmpty():  # equal rows of one id
-        out = out.dropDuplicates(["doc_id", "_own"])
-    return out.drop("_own")
+    """The rows that stay, with all their columns, whatever these are called. Of equal rows one stays."""
+    numbered = number_rows(documents, "dedup-numbered")
+    grouped = _grouped(name_documents(texts_of(numbered), row="row"))
+    gone = stash(grouped.where(F.col("row") != F.col("first.row")).select("row"), "dedup-gone")
+    return own_columns(without_rows(numbered, gone), documents.columns)

@@ -8,8 +8,9 @@ Filters learn from a sample of rows by hash, SAMPLE_ROWS expected per language:
 LEAST_SHARE of a language's sample. Only text is read when predicting.
 
 Defined results: null text, or text without a letter, is `und` with score 0, as is everything where nothing could
-be learned; ties go to the language first in code point order; rows of one id are judged one by one; learning rows
-need a language and a text; other columns are ignored; an empty table gives no rows.
+be learned; ties go to the language first in code point order; rows of one id are judged one by one, and very long
+texts a SLICE at a time, with no n-gram lost between slices; learning rows need a language and a text; other columns
+play no part and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,11 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import bound_batches
+from .common import bound_batches, discard, stash
 
-#: Characters of an n-gram; slots of the filter (a power of two) and slots per n-gram; languages at most.
-N, SLOTS_LOG2, HASHES, MOST_LANGUAGES = 4, 20, 2, 4096
+#: Characters of an n-gram; slots of the filter (a power of two) and slots per n-gram.
+N, SLOTS_LOG2, HASHES = 4, 20, 2
+#: Languages in a word of a mask.
+WIDTH = 63
 #: Rows expected in a language's sample, and the least share of its n-grams that one needs to be learned.
 SAMPLE_ROWS, LEAST_SHARE = 1_500, 2e-6
 #: Characters worked on at a time.
@@ -54,7 +58,7 @@ class LanguageFilters:
 
     def __init__(self, languages: list[str], masks: np.ndarray):
         self.languages, self.masks = languages, masks
-        fill = np.array([((masks[i // 63] >> np.int64(i % 63)) & 1).mean() for i in range(len(languages))])
+        fill = np.array([((masks[i // WIDTH] >> np.int64(i % WIDTH)) & 1).mean() for i in range(len(languages))])
         self.false = np.minimum(fill**HASHES, 0.99)
 
     def shares(self, text: str) -> np.ndarray:
@@ -68,8 +72,9 @@ class LanguageFilters:
                 both = mask[slots[0]]
                 for s in slots[1:]:
                     both = both & mask[s]
-                for i in range(w * 63, min(len(self.languages), w * 63 + 63)):
-                    hits[i] += np.count_nonzero(both & np.int64(1 << (i % 63)))
+                own = hits[w * WIDTH : (w + 1) * WIDTH]
+                # all languages of the word at once: the sums of the bit planes
+                own += np.unpackbits(both.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)[: len(own)]
         return np.maximum((hits - total * self.false) / (1 - self.false), 0) / max(total, 1)
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -87,9 +92,7 @@ def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilte
     rows = documents.where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(sizes)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; at most {MOST_LANGUAGES}")
-    words = max(1, -(-len(languages) // 63))
+    words = max(1, -(-len(languages) // WIDTH))
     if not languages:
         return LanguageFilters([], np.zeros((1, 1 << SLOTS_LOG2), np.int64))
     spark = documents.sparkSession
@@ -106,7 +109,7 @@ def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilte
                 yield pa.RecordBatch.from_pydict({"number": pa.array(np.full(len(found), number, np.int32)), "gram": pa.array(found.view(np.int64)), "n": pa.array(times.astype(np.int64))})
 
     counts = picked.select("number", "text").mapInArrow(count, "number int, gram long, n long").groupBy("number", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.persist()
+    counts = stash(counts, "language-grams")
     totals = spark.createDataFrame([(r["number"], r["n"]) for r in counts.groupBy("number").agg(F.sum("n").alias("n")).collect()] or [(0, 0)], "number int, total long")
     learned = counts.join(F.broadcast(totals), "number").where(F.col("n") >= F.greatest(F.col("total") * LEAST_SHARE, F.lit(1)))
 
@@ -114,35 +117,32 @@ def learn(documents: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilte
         for batch in batches:
             grams, numbers = np.asarray(batch.column("gram")).view(np.uint64), np.asarray(batch.column("number"))
             slots = np.concatenate([_slots(grams, j) for j in range(HASHES)])
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(slots), "word": pa.array(np.tile(numbers // 63, HASHES).astype(np.int32)), "mask": pa.array(np.tile(np.int64(1) << (numbers % 63).astype(np.int64), HASHES))})
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(slots), "word": pa.array(np.tile(numbers // WIDTH, HASHES).astype(np.int32)), "mask": pa.array(np.tile(np.int64(1) << (numbers % WIDTH).astype(np.int64), HASHES))})
 
     masks = np.zeros((words, 1 << SLOTS_LOG2), np.int64)
     table = learned.select("number", "gram").mapInArrow(place, "slot long, word int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
     masks[np.asarray(table["word"]), np.asarray(table["slot"])] = np.asarray(table["mask"])
-    counts.unpersist()
+    discard(counts)
     return LanguageFilters(languages, masks)
 
 
 def identify(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
-    """All columns of the documents, and lang_pred, lang_score and lang_share."""
+    """(own struct of all columns of a document, lang_pred, lang_score, lang_share) of every document."""
     spark = documents.sparkSession
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(filters)  # 8 MB per 63 languages
+    own = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in documents.columns))
 
     def judge(batches):
         for batch in batches:
             found = [sent.value.predict(t.as_py()) for t in batch.column("text")]
             names, scores, shares = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score", "lang_share"])
+            yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["own", "lang_pred", "lang_score", "lang_share"])
 
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_share", DoubleType())])
-    return documents.mapInArrow(judge, schema)
+    schema = StructType([StructField("own", documents.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_share", DoubleType())])
+    return documents.select(own.alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(judge, schema)
 
 
 def in_fold(modulus: int, remainder: int):
     """Whether crc32 of the id's text has the remainder; a null id is outside the fold."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-

@@ -43,7 +43,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.read_documents(token_store.write_shards(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    docs = read_table(spark, sf_dir, "documents")
+    store = token_store.write_store(docs, tokenizer_path("byte_bpe_50k.json"))
+    return token_store.read_documents(store, token_store.keys_of(docs)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +55,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     filters = langid.learn(docs.where(~langid.in_fold(5, 0)))
-    judged = langid.identify(docs.select("doc_id", "text"), filters)
+    judged = langid.identify(docs.select("doc_id", "text"), filters).select("own.doc_id", "lang_pred", "lang_score")
     return judged.select("doc_id", langid.in_fold(5, 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bound_batches, join_lookup, stash
+from .common import BROADCAST_NUMBERS, bound_batches, number_rows, own_columns, stash, texts_of, without_rows
 
 #: Differing bits up to which fingerprints link, and members from which a bucket is divided further.
 RADIUS, BUCKET = 3, 4096
@@ -175,14 +175,15 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
 # --- near copies by similarity: the same method on fingerprints of 128 bits
 
 
-#: Bits of a wide fingerprint; bits in a band at least; share of pairs at TARGET similarity that some band brings together.
-WIDE, BAND, TARGET, REACHED = 128, 24, 0.8, 0.98
-#: One in so many texts tells which shingles are common; common shingles known at most.
-SAMPLED, COMMON = 16, 500_000
+#: Bits of a wide fingerprint.
+WIDE = 128
+#: One in so many texts tells which shingles are common; common shingles known at most; texts with a shingle, by this
+#: sample, from which all of them are candidates together.
+SAMPLED, COMMON, HOT_KEY = 16, 500_000, 4_096
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
-#: Rows up to which a group of candidates is verified as a whole; larger ones are dealt by length.
-WHOLE_GROUP = 4_096
+#: Rows, and shingles of them, that a task verifies together.
+CELL_ROWS, CELL_SHINGLES = 4_096, 20_000_000
 #: Links a task holds before it joins them.
 MOST_LINKS = 1_000_000
 
@@ -256,16 +257,6 @@ def radius_of(similarity: float) -> int:
     return int(WIDE * share + 5 * np.sqrt(WIDE * share * (1 - share)))
 
 
-def bands_for(rows: int) -> tuple[int, int]:
-    """(bits, bands): a band has 6 bits more than log2 of the rows, so that unrelated fingerprints rarely share one, and
-    there are enough bands that REACHED of the pairs at TARGET similarity come within 2 bits in one of them."""
-    bits = max(BAND, int(np.ceil(np.log2(max(rows, 2)))) + 6)
-    p = np.arccos(2 * TARGET / (1 + TARGET)) / np.pi
-    q = 1 - p
-    within = q**bits + bits * p * q ** (bits - 1) + bits * (bits - 1) / 2 * p * p * q ** (bits - 2)
-    return bits, int(np.ceil(np.log(1 - REACHED) / np.log(1 - within)))
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1)
 
@@ -362,31 +353,6 @@ def meeting_links(keyed: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(collide, "a string, b string").distinct()
 
 
-def wide_links(distinct: DataFrame, rows: int, radius: int) -> DataFrame:
-    """(a, b) as meeting_links(), of distinct fingerprints (low, high) that meet in ball-hashed bands; for fingerprints
-    without texts, and not exact: some pairs within the radius meet in no band.
-    """
-    bits, bands = bands_for(rows)
-    rng = np.random.default_rng(7)
-    chosen = [np.sort(rng.permutation(WIDE)[:bits]) for _ in range(bands)]
-
-    def emit(batches):
-        powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-        flips = np.concatenate([[0], powers])
-        for batch in batches:
-            low, high = batch.column("low"), batch.column("high")
-            both = np.stack([np.asarray(low), np.asarray(high)], 1)
-            cells = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int64)
-            for band, columns in enumerate(chosen):
-                keys = ((cells[:, columns] @ powers)[:, None] ^ flips[None, :]) + (np.int64(band) << np.int64(bits))
-                for a in range(0, len(keys), 2_000):
-                    part = keys[a : a + 2_000]
-                    many = np.repeat(both[a : a + 2_000], bits + 1, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.ascontiguousarray(many[:, 0])), pa.array(np.ascontiguousarray(many[:, 1]))], ["key", "low", "high"])
-
-    return meeting_links(distinct.select("low", "high").mapInArrow(emit, "key long, low long, high long"), radius)
-
-
 def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links that connect what is connected by pairs of sets (sorted, distinct) of this Jaccard similarity, no others.
 
@@ -433,9 +399,9 @@ def jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
     return links
 
 
-def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def verified_links(texts: DataFrame, members: DataFrame, n: int, shingle: int, similarity: float) -> DataFrame:
     """(a, b) rows of this Jaccard similarity of their shingles, enough to connect all that are connected within each
-    group of `members` (row, text, group, class)."""
+    cell of `members` (row, cell), a written table of n rows. Written, too."""
 
     def verify(batches):
         key, rows, sets = None, [], []
@@ -445,7 +411,7 @@ def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataF
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], ["a", "b"])
 
         for batch in batches:
-            for row, text, *own in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "group", "class")), strict=True):
+            for row, text, own in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "cell")), strict=True):
                 if own != key:
                     if len(sets) > 1:
                         yield solve()
@@ -455,7 +421,57 @@ def verified_links(members: DataFrame, shingle: int, similarity: float) -> DataF
         if len(sets) > 1:
             yield solve()
 
-    return members.select("row", "text", "group", "class").repartition("group", "class").sortWithinPartitions("group", "class").mapInArrow(verify, "a long, b long").distinct()
+    few = n <= BROADCAST_NUMBERS
+    dealt = texts.select("row", "text").join(F.broadcast(members) if few else members, "row").select("row", "text", "cell")
+    return stash(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "a long, b long").distinct(), "simhash-links")
+
+
+def cells_of(members: DataFrame) -> DataFrame:
+    """(row, size, class, parts, part): rows of a class (row, size, class) dealt to as many parts as CELL_ROWS and
+    CELL_SHINGLES ask for. Written."""
+    whole = members.groupBy("class").agg(F.greatest(F.ceil(F.count("*") / CELL_ROWS), F.ceil(F.sum("size") / CELL_SHINGLES)).alias("parts"))
+    dealt = members.join(stash(whole, "simhash-classes"), "class")
+    return stash(dealt.select("row", "size", "class", "parts", F.pmod(F.xxhash64("row", "class"), F.col("parts")).alias("part")), "simhash-cells")
+
+
+def similar_links(texts: DataFrame, members: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) rows of this similarity that connect all that are connected within each class of `members` (row, size,
+    class), however large: no task sees more than a part of a class.
+
+    Parts are verified by themselves. In a class of several parts one row of each cluster found stands for it, and
+    these are dealt and verified again while their number falls by half. Of a large group of copies that leaves one
+    cluster; every row outside of the largest is at last verified, in blocks, against all rows of the class. So each
+    pair is compared in some task or already connected.
+    """
+    cell = F.xxhash64("class", "part")
+    cells = cells_of(members)
+    links = verified_links(texts, cells.select("row", cell.alias("cell")), cells.count(), shingle, similarity)
+    large = stash(cells.where("parts > 1"), "simhash-large")
+    left = large.count()
+    if not left:
+        return links
+    cut = lambda df: stash(df, "simhash-clusters")
+    while True:
+        roots = connected_components(links, cut)
+        clusters = stash(large.join(roots, large.row == roots.node, "left").select("row", "size", "class", "parts", "part", F.coalesce("root", "row").alias("root")), "simhash-clusters")
+        standing = stash(clusters.groupBy("class", "root").agg(F.min_by("row", F.struct("size", "row")).alias("row"), F.min("size").alias("size"), F.count("*").alias("n")), "simhash-standing")
+        n = standing.count()
+        if n == standing.select("class").distinct().count() or 2 * n > left:
+            break
+        left = n
+        again = cells_of(standing.select("row", "size", "class"))
+        links = stash(links.unionByName(verified_links(texts, again.select("row", cell.alias("cell")), n, shingle, similarity)).distinct(), "simhash-links")
+    most = standing.groupBy("class").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    outside = stash(clusters.join(stash(most, "simhash-largest"), "class").where("root <> largest").select("row", "size", "class", "parts"), "simhash-outside")
+    if outside.isEmpty():
+        return links
+    asked = cells_of(outside.select("row", "size", "class")).select("row", "class", F.col("part").alias("block"), F.col("parts").alias("blocks"))
+    blocks = asked.select("class", "blocks").distinct()
+    every = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    sides = asked.join(large.select("class", "parts").distinct(), "class").select("row", "class", "block", F.explode(every).alias("part"))
+    sides = sides.unionByName(large.join(blocks, "class").select("row", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "part"))
+    met = stash(sides.select("row", F.xxhash64("class", "block", "part").alias("cell")).distinct(), "simhash-met")
+    return stash(links.unionByName(verified_links(texts, met, met.count(), shingle, similarity)).distinct(), "simhash-links")
 
 
 def similar_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -463,58 +479,60 @@ def similar_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
     similarity have the same root, the row of one of them.
 
     Candidates are rows that share a shingle of their prefixes, which no pair of this similarity fails to do, however
-    many rows there are, and whose fingerprints are within radius_of(similarity). Groups of candidates are gathered,
-    and pairs in them count if their shingles say so.
+    many rows there are, and whose fingerprints are within radius_of(similarity); where a shingle is in the prefixes of
+    more than HOT_KEY texts by the sample, all of them are candidates together, for which a running minimum is enough.
+    Groups of candidates are dealt to classes of adjacent lengths, and pairs in them count if their shingles say so.
     """
     bound_batches(texts.sparkSession)
     common, counts = common_shingles(texts, shingle)
+    hot = common[counts * SAMPLED > HOT_KEY]
 
     def hashed(batches):
         for batch in batches:
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
             found = np.array([_wide(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            keys = pa.array([prefix(x, similarity, common, counts).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            keys = [prefix(x, similarity, common, counts) for x in sets]
+            shared = [np.isin(x, hot) for x in keys]
+            lists = [pa.array([x[chosen(y)].view(np.int64) for x, y in zip(keys, shared, strict=True)], pa.list_(pa.int64())) for chosen in (np.logical_not, np.asarray)]
             sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), sizes, keys], ["row", "doc_id", "low", "high", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), sizes, *lists], ["row", "doc_id", "low", "high", "size", "keys", "hot"])
 
-    prints = stash(texts.mapInArrow(hashed, "row long, doc_id long, low long, high long, size long, keys array<long>"), "simhash-wide")
+    prints = stash(texts.select("row", "doc_id", "text").mapInArrow(hashed, "row long, doc_id long, low long, high long, size long, keys array<long>, hot array<long>"), "simhash-wide")
+    name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     edges = meeting_links(prints.select(F.explode("keys").alias("key"), "low", "high"), radius_of(similarity))
+    if len(hot):
+        many = prints.select(F.explode("hot").alias("key"), name.alias("a"))
+        least = stash(many.groupBy("key").agg(F.min("a").alias("b")), "simhash-hot")
+        edges = edges.unionByName(many.join(least, "key").select("a", "b").distinct())
     roots = connected_components(edges, lambda df: stash(df, "simhash-components"))
-    name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
     loose = prints.select("row", "size", name.alias("node")).join(roots, "node", "left").select("row", "size", F.coalesce("root", "node").alias("group"))
-    groups = loose.groupBy("group").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = stash(loose.join(groups, "group"), "simhash-members")
+    groups = stash(loose.groupBy("group").agg(F.count("*").alias("rows"), F.sum("size").alias("shingles")).where("rows > 1"), "simhash-groups")
     # sizes of similar sets are in the same class or in adjacent ones: in a large group a row is dealt to its own and the next
     own = F.floor(F.log("size") / -float(np.log(similarity)) + 1e-9)
-    members = members.select("row", "group", F.explode(F.when(F.col("rows") <= WHOLE_GROUP, F.array(F.lit(-1).cast("long"))).otherwise(F.array(own, own + 1))).alias("class"))
-    near = verified_links(join_lookup(texts, members, "row", members.count(), "inner"), shingle, similarity)
+    whole = (F.col("rows") <= CELL_ROWS) & (F.col("shingles") <= CELL_SHINGLES)
+    members = loose.join(groups, "group").select("row", "size", "group", F.explode(F.when(whole, F.array(F.lit(-1).cast("long"))).otherwise(F.array(own, own + 1))).alias("length"))
+    members = stash(members.select("row", "size", F.xxhash64("group", "length").alias("class")), "simhash-members")
+    near = similar_links(texts, members, shingle, similarity)
     joined = connected_components(near, lambda df: stash(df, "simhash-verified"))
     return stash(prints.select("row", "doc_id").join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select("row", "doc_id", F.coalesce("root", "row").alias("root")), "simhash-rows")
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
-    return stash(documents.withColumn("_row", F.monotonically_increasing_id()), "simhash-numbered")
-
-
-def _texts(numbered: DataFrame) -> DataFrame:
-    return numbered.select(F.col("_row").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
 def similar_groups(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every row: component_id is the smallest doc_id of those connected by similar pairs."""
-    rows = similar_rows(_texts(_numbered(documents.select("doc_id", "text"))), shingle, similarity)
-    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+    rows = similar_rows(texts_of(number_rows(documents.select("doc_id", "text"), "simhash-numbered")), shingle, similarity)
+    return rows.join(stash(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "simhash-named"), "root").select("doc_id", "component_id")
 
 
 def drop_near_copies(documents: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Of each component the row with the smallest doc_id (null last; among rows of one id, one of them), with all its
-    columns. Rows are told apart by numbers of their own, so ids may be null or repeated."""
-    numbered = _numbered(documents)
-    rows = similar_rows(_texts(numbered), shingle, similarity)
+    columns, whatever these are called. Rows are told apart by numbers of their own, so ids may be null or repeated.
+    Chains count: a row that is similar to one that goes, goes too, even where it is less similar to the one that stays."""
+    numbered = number_rows(documents, "simhash-numbered")
+    rows = similar_rows(texts_of(numbered), shingle, similarity)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     # components of one row, which are most, need no grouping: their root is the row
     shared = rows.where("root <> row").select("root").distinct()
-    members = stash(rows.join(shared, "root"), "simhash-copies")
-    kept = members.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row"))
-    gone = members.join(kept, "row", "left_anti").select(F.col("row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*documents.columns)
+    members = stash(rows.join(stash(shared, "simhash-shared"), "root"), "simhash-copies")
+    kept = stash(members.groupBy("root").agg(first.alias("first")).select(F.col("first.row").alias("row")), "simhash-kept")
+    gone = stash(members.join(kept, "row", "left_anti").select("row"), "simhash-gone")
+    return own_columns(without_rows(numbered, gone), documents.columns)

@@ -74,17 +74,35 @@ def test_chat(spark, tmp_path):
         assert r["n_examples"] == sum(x[2] == "assistant" for x in turns)
 
 
-def test_chat_examples_hold_all_turns_before_and_mask_one_reply(spark, tmp_path):
-    rows = [r for r in conversations() if (r["conv_id"] or 0) in (9000, 0)]
-    turns = chat.expand_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    examples = collect(chat.example_texts(turns))
-    own = sorted((r for r in rows if r["conv_id"] == 9000), key=lambda r: r["turn"])
-    assert sum(e["conv_id"] == 9000 for e in examples) == sum(r["role"] == "assistant" for r in own)
+@pytest.mark.parametrize("spelled", [chat.SPELLED, 300, 1])
+def test_chat_examples_hold_all_turns_before_and_mask_one_reply(spark, spelled):
+    rows = conversations()
+    examples = collect(chat.expand_examples(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), spelled))
+    groups, found = defaultdict(list), defaultdict(list)
+    for r in rows:
+        groups[r["conv_id"]].append((r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
     for e in examples:
-        if e["conv_id"] == 9000:
-            parts = re.findall(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", e["text"], re.S)
-            assert [(chat.unescape_role(a), chat.unescape_text(b)) for a, b in parts] == [(r["role"] or "", r["text"] or "") for r in own[: e["position"] + 1]]
-            assert chat.unescape_text(e["text"][e["loss_start"] : e["loss_end"]]) == (own[e["position"]]["text"] or "")
+        found[e["conv_id"]].append(e)
+    assert set(found) == set(groups)
+    for conv, turns in groups.items():
+        turns.sort()
+        own, stream = sorted(found[conv], key=lambda e: e["position"]), ""
+        targets = [i for i, t in enumerate(turns) if t[2] == "assistant"]
+        assert [e["position"] for e in own if e["loss_end"] is not None] == targets
+        for e in own:
+            assert e["text_start"] == 0 or e["example_chars"] > spelled
+            stream = stream[: e["text_start"]] + e["text"]  # a long example goes on where the row before ends
+            assert len(stream) == e["example_chars"]
+            parts = re.findall(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", stream, re.S)
+            assert [(chat.unescape_role(a), chat.unescape_text(b)) for a, b in parts] == [t[2:] for t in turns[: e["position"] + 1]]
+            if e["loss_end"] is not None:
+                assert chat.unescape_text(stream[e["loss_start"] : e["loss_end"]]) == turns[e["position"]][3]
+        assert own[-1]["position"] == len(turns) - 1
+
+
+def test_long_examples_read_back_as_short_ones_do(spark):
+    frame = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
+    assert counted(collect(chat.digest(chat.expand_examples(frame, 100)))) == counted(collect(chat.digest(chat.expand_examples(frame))))
 
 
 # 2 exact top-k
@@ -299,12 +317,51 @@ def test_token_store(spark, tricky, rows):
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 1000, 20_000])
 def test_perfect_hash_fills_every_slot_once_and_tells_absent_keys(n):
-    keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
-    data = token_store.shard_bytes([*keys.tolist(), None], np.ones(len(keys) + 1, np.int64), np.arange(len(keys) + 1, dtype=np.uint32) % 50_000, 2)
-    shard = token_store.Shard(data)
-    assert (shard.find(keys) == np.arange(len(keys))).all()
-    assert (shard.find(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
-    assert sorted(token_store.build_hash(keys)[2].tolist() if len(keys) else []) == list(range(len(keys)))
+    rng = np.random.default_rng(n)
+    ids = np.unique(rng.integers(-(2**62), 2**62, n))
+    copies = rng.integers(-3, 3, len(ids))
+    assert sorted(token_store.build_levels(ids, copies)[2].tolist()) == list(range(len(ids)))
+    data = token_store.index_bytes(ids, copies, ids % 7, np.arange(len(ids)), ids % 5)
+    index = token_store.Index(lambda at, size: data[at : at + size])
+    found = index.find_all(ids, copies)
+    assert (found["shard"] == ids % 7).all() and (found["at"] == np.arange(len(ids))).all() and (found["n"] == ids % 5).all()
+    assert (index.find_all(ids, copies + 10)["n"] == -1).all()
+    for i in range(0, len(ids), max(1, len(ids) // 50)):
+        assert index.find(int(ids[i]), int(copies[i])) == (ids[i] % 7, i, ids[i] % 5)
+        assert index.find(int(ids[i]), int(copies[i]) + 10) is None
+
+
+def test_a_lookup_reads_no_more_of_a_larger_index():
+    read = {}
+    for n in (2_000, 200_000):
+        ids = np.random.default_rng(1).permutation(n * 3)[:n]
+        data = token_store.index_bytes(ids, np.zeros(n, np.int64), ids, ids, ids)
+        sizes = []
+        index = token_store.Index(lambda at, size, data=data, sizes=sizes: (sizes.append(size), data[at : at + size])[1])
+        for i in ids[:200].tolist():
+            assert index.find(i, 0) == (i, i, i)
+        read[n] = sum(sizes)
+    assert read[200_000] < 1.3 * read[2_000]
+
+
+def test_token_store_finds_documents_by_key(spark, tricky, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_store, "SHARD_IDS", 2_000)
+    monkeypatch.setattr(token_store, "INDEX_KEYS", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    store = token_store.write_store(docs, queries.tokenizer_path("byte_bpe_50k.json"), folder=str(tmp_path / "store"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert store.n_buckets > 4 and store.n_shards > 3
+    want = defaultdict(Counter)
+    for r, ids in zip(rows, tokenized("byte_bpe_50k.json", [r["text"] or "" for r in rows]), strict=True):
+        want[r["doc_id"]][tuple(ids + [0])] += 1
+    for doc_id in [None, 3, 1000, 1026, *list(want)[:15]]:
+        n = want[doc_id].total()
+        assert Counter(tuple(store.document(doc_id, copy).tolist()) for copy in range(n)) == want[doc_id]
+        assert store.document(doc_id, n) is None
+    # an index that leads elsewhere gives other rows: nothing but the index finds a document
+    asked = spark.createDataFrame([(3, 0), (999_999, 0), (3, 99)], "doc_id long, copy long")
+    assert [r["doc_id"] for r in token_store.read_documents(store, asked).collect()] == [3]
 
 
 # 7 exact dedup

@@ -8,7 +8,8 @@ The rotation is the eigenbasis of all candidates' second moments, so early compo
 rotation leaves results exact.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows without an
-id; vectors of different lengths multiply over their common components; an empty vector scores 0. Rows with the
+id; vectors of different lengths multiply over their common components, candidates being cut to the longest query
+before they are sorted; an empty vector scores 0. Rows with the
 query's id are the query's own; a query row that is repeated counts once, a repeated candidate as often as it
 stands. Ties go to the smaller id. Scores beyond 64 bits saturate. Other columns are ignored.
 """
@@ -26,6 +27,8 @@ from .common import stash
 BLOCK_BYTES, HEAD_ROWS = 16_000_000, 2_000
 #: Candidates compared at a time, and the parts of the rotated components after which bounds are taken.
 SLICE, STEPS = 512, (0.125, 0.25, 0.5)
+#: Components up to which vectors are rotated; of wider ones the first components as they are give the partial sums.
+MOST_ROTATED = 2_048
 #: Integer sums below this are exact in float64.
 EXACT = float(2**53)
 
@@ -79,7 +82,7 @@ class _Searcher:
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
         self.ids, self.vectors, self.rotation, self.k = ids, vectors, rotation, k
         self.norms = np.sqrt((vectors * vectors).sum(1))
-        self.turned = vectors @ rotation
+        self.turned = self._turn(vectors)
         width = vectors.shape[1]
         self.cuts = sorted({max(1, int(width * s)) for s in STEPS} | {width})
         self.rests = [np.sqrt((self.turned[:, c:] ** 2).sum(1)) for c in self.cuts]
@@ -87,6 +90,10 @@ class _Searcher:
         self.best = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.floor = np.full(len(ids), -np.inf)
 
+    def _turn(self, vectors: np.ndarray) -> np.ndarray:
+        """Rotated vectors; wide ones, for which no rotation was made, as they are."""
+        return vectors @ self.rotation if self.rotation.shape[0] == vectors.shape[1] else vectors
+
     def reachable(self, norm: float) -> bool:
         return bool((self.norms * norm * (1 + 1e-9) + 1e-6 >= np.maximum(self.floor, self.scores[:, -1])).any()) if len(self.ids) else False
 
@@ -97,7 +104,7 @@ class _Searcher:
         live = np.flatnonzero(self.norms * norms.max(initial=0.0) * (1 + 1e-9) + 1e-6 >= limit)
         if not len(live) or not len(ids):
             return
-        turned = vectors @ self.rotation
+        turned = self._turn(vectors)
         pad = 1e-9 * norms.max(initial=0.0) * self.norms + 1e-6
         # partial sums grow cut by cut over the queries and candidates that still have a pair within reach
         cols, done = np.arange(len(ids)), 0
@@ -145,27 +152,31 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with candidates of other ids.
 
     Both frames are `integer_vectors`. Queries go in blocks of BLOCK_BYTES at most, each block a pass over the
-    candidates; candidates are never copied per query.
+    candidates whose result is written before the next: the driver and every task hold one block at a time, however
+    many there are, and candidates are never copied per query.
     """
     spark = candidates.sparkSession
-    order = [F.col("norm").desc(), F.col("id")]
-    sorted_candidates = stash(candidates.repartitionByRange(*order).sortWithinPartitions(*order), "topk-candidates")
     wanted = stash(queries.select("id", "v").distinct(), "topk-queries")
     n, width = (wanted.agg(F.count("*"), F.max(F.size("v"))).first() or (0, 0))[:2]
-    schema = "query long, query_id long, vec_id long, score long"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(1, width)
-    rotation = _rotation(sorted_candidates, width)
+    # components beyond the longest query have no part in any product, nor in the order of lengths
+    cut = F.when(F.size("v") > width, F.slice("v", 1, width)).otherwise(F.col("v"))
+    common = candidates.select("id", cut.alias("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    order = [F.col("norm").desc(), F.col("id")]
+    sorted_candidates = stash(common.repartitionByRange(*order).sortWithinPartitions(*order), "topk-candidates")
+    rotation = _rotation(sorted_candidates, width) if width <= MOST_ROTATED else np.eye(1)
     head = sorted_candidates.orderBy(*order).limit(HEAD_ROWS).select("id", "v").toArrow().combine_chunks()
     blocks = -(-n * width * 8 // BLOCK_BYTES)
     found = None
     for block in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).orderBy("id", "v").toArrow().combine_chunks()
-        ids = np.asarray(rows["id"].combine_chunks()) if rows.num_rows else np.zeros(0, np.int64)
-        vectors = _matrix(rows["v"].combine_chunks(), width) if rows.num_rows else np.zeros((0, width))
+        if not rows.num_rows:
+            continue
+        ids, vectors = np.asarray(rows["id"].combine_chunks()), _matrix(rows["v"].combine_chunks(), width)
         first = _Searcher(ids, vectors, rotation, k)
-        if head.num_rows and len(ids):
+        if head.num_rows:
             head_ids, head_vectors = np.asarray(head["id"].combine_chunks()), _matrix(head["v"].combine_chunks(), width)
             for a in range(0, len(head_ids), SLICE):
                 first.offer(head_ids[a : a + SLICE], head_vectors[a : a + SLICE])
@@ -189,7 +200,12 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
                 i, query, vec, score = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_pydict({"query": pa.array([base + x for x in i], pa.int64()), "query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
 
-        part = sorted_candidates.select("id", "v").mapInArrow(search, schema)
-        found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        part = sorted_candidates.select("id", "v").mapInArrow(search, "query long, query_id long, vec_id long, score long")
+        best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")  # k rows a task at most
+        ranked = part.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        done = stash(ranked, "topk-found")
+        sent.destroy()
+        found = done if found is None else found.unionAll(done)
+        if (block + 1) % 64 == 0:
+            found = stash(found, "topk-found")
+    return found

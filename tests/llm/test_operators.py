@@ -108,14 +108,18 @@ def test_long_examples_read_back_as_short_ones_do(spark):
 # 2 exact top-k
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e12])
-def test_top_k(spark, tmp_path, scale):
+@pytest.mark.parametrize("scale, block_bytes, rotated", [(1.0, 16_000_000, 2_048), (1e12, 16_000_000, 2_048), (1.0, 500, 2_048), (1.0, 16_000_000, 8)])
+def test_top_k(spark, tmp_path, scale, block_bytes, rotated, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(topk, "MOST_ROTATED", rotated)
     rng = np.random.default_rng(3)
     rows = [{"vec_id": i, "embedding": (rng.normal(size=16) * scale * rng.lognormal()).tolist()} for i in range(1, 700)]
     rows += [{"vec_id": 1000 + i, "embedding": rows[49]["embedding"]} for i in range(300)]
-    rows += [{"vec_id": 2000, "embedding": None}, {"vec_id": 2050, "embedding": [1.0, None]}, {"vec_id": 2100, "embedding": [float("nan")] * 16}, {"vec_id": 2150, "embedding": [float("inf")] * 16}, {"vec_id": 2200, "embedding": []}, {"vec_id": 2250, "embedding": [0.5, -0.3]}, {"vec_id": None, "embedding": [1.0] * 16}, {"vec_id": 2300, "embedding": [9.0] * 20}]
+    rows += [{"vec_id": 2000, "embedding": None}, {"vec_id": 2050, "embedding": [1.0, None]}, {"vec_id": 2100, "embedding": [float("nan")] * 16}, {"vec_id": 2150, "embedding": [float("inf")] * 16}, {"vec_id": 2200, "embedding": []}, {"vec_id": 2250, "embedding": [0.5, -0.3]}, {"vec_id": None, "embedding": [1.0] * 16}, {"vec_id": 2301, "embedding": [9.0] * 20}]
     rows += [rows[99], rows[120], rows[120]]
     rows = [r | {"id": "clash", "norm": "clash"} for r in rows]
+    # longer than any query, with its length beyond what a query has
+    rows += [{"vec_id": 2301 + i, "embedding": [0.01 * i] * 16 + [1e6] * 9, "id": "clash", "norm": "clash"} for i in range(3)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string, norm string").write.parquet(str(tmp_path / "embeddings.parquet"))
     found = collect(queries.op2_exact_top_k(spark, str(tmp_path)))
     good = [(r["vec_id"], [math.floor(256 * x) for x in r["embedding"]]) for r in rows if r["vec_id"] is not None and r["embedding"] is not None and all(x is not None and math.isfinite(x) for x in r["embedding"])]
@@ -194,49 +198,94 @@ def words_of(text):
     return [*WORD.findall(low), "\n"]
 
 
-@pytest.mark.parametrize("hot, chunk_bytes", [(300, 20_000), (10**9, 10**7), (1_000, 100)])
-def test_katz(spark, tricky, rows, hot, chunk_bytes):
-    found = collect(katz.katz_scores(spark.read.parquet(f"{tricky}/documents.parquet"), hot=hot, chunk_bytes=chunk_bytes))
-    training = [r for r in rows if katz.held_out(r["doc_id"], 7, 2) is False]
-    uni, pairs = Counter(), Counter()
-    for r in training:
-        tokens = words_of(r["text"])
-        uni.update(tokens)
-        pairs.update(zip(["\n", *tokens], tokens, strict=False))
-    total, types = sum(uni.values()), len(uni)
-    seen = lambda c: np.array([sum(v == i for v in c.values()) for i in range(1, 7)], float)
-    one, d = katz.Unigrams(seen(uni), total), katz.discounts(seen(pairs))
-    p_word = lambda w: float(one.p(np.array([uni[w]]))[0])
-    assert abs(sum(map(p_word, uni)) + one.unknown - 1) < 1e-9
-    after = defaultdict(dict)
-    for (v, w), c in pairs.items():
-        after[v][w] = c
-    held = {}
-    for v, follow in after.items():
-        stats = np.zeros((1, katz.N_STATS))
-        for w, c in follow.items():
-            stats[0, min(c, 6) - 1] += c if c > 5 else 1
-            stats[0, -1] += p_word(w)
-        base, alpha = katz.backoff(stats, np.array([uni[v]], float), d)
-        held[v] = (base[0], alpha[0])
-    cut = lambda c: (d[c - 1] if c <= 5 else 1) * c
-    for v in list(after)[:300]:  # probabilities after a word sum to 1
-        whole = sum(cut(c) / held[v][0] for c in after[v].values()) + held[v][1] * (1 - sum(map(p_word, after[v])))
-        assert abs(whole - 1) < 1e-9
-
-    def p(v, w):
-        c = after.get(v, {}).get(w, 0)
-        return cut(c) / held[v][0] if c else held.get(v, (0, 1.0))[1] * p_word(w)
-
+class BruteKatz:
+    """The model from all n-grams of the training documents, evaluated word by word."""
+
+    def __init__(self, rows, order):
+        self.order, self.count = order, [None, Counter()]
+        training = [words_of(r["text"]) for r in rows if not katz.held_out(r["doc_id"], 7, 2)]
+        for tokens in training:
+            self.count[1].update(tokens)
+        for n in range(2, order + 1):
+            grams = Counter()
+            for tokens in training:
+                padded = ["\n", *tokens]
+                grams.update(tuple(padded[i : i + n]) for i in range(len(padded) - n + 1))
+            self.count.append(grams)
+        seen = lambda c: np.array([sum(v == i for v in c.values()) for i in range(1, 7)], float)
+        self.total, self.types = sum(self.count[1].values()), len(self.count[1])
+        self.one = katz.Unigrams(seen(self.count[1]), self.total)
+        self.uni = {w: float(self.one.p(np.array([c]))[0]) for w, c in self.count[1].items()}
+        self.d, self.after, self.weights = {}, {}, {}
+        for n in range(2, order + 1):
+            self.after[n] = defaultdict(dict)
+            for gram, c in self.count[n].items():
+                if self.context(gram[:-1]):
+                    self.after[n][gram[:-1]][gram[-1]] = c
+            # discounts are from the n-grams whose contexts take part
+            self.d[n] = katz.discounts(seen({(h, w): c for h, follow in self.after[n].items() for w, c in follow.items()}))
+            for h, follow in self.after[n].items():
+                low = [c for c in follow.values() if c <= 5]
+                left = sum(c * (1 - self.d[n][c - 1]) for c in low)
+                base = self.context(h) + (left <= 0)
+                below = sum(self.p(h[1:], w) for w in follow)
+                self.weights[h] = (base, (left if left > 0 else 1.0) / base / max(1 - below, 1e-300))
+
+    def context(self, h):
+        """Occurrences of a context that takes part, else 0."""
+        c = self.count[1][h[0]] if len(h) == 1 else self.count[len(h)][h]
+        return c if len(h) == 1 or c >= katz.LEAST_CONTEXT else 0
+
+    def p(self, h, w):
+        if not h:
+            return self.uni.get(w, self.one.unknown)
+        if h not in self.weights:
+            return self.p(h[1:], w)
+        base, alpha = self.weights[h]
+        c = self.after[len(h) + 1][h].get(w, 0)
+        return (self.d[len(h) + 1][c - 1] if c <= 5 else 1) * c / base if c else alpha * self.p(h[1:], w)
+
+    def score(self, text):
+        tokens = words_of(text)
+        padded = ["\n", *tokens]
+        return sum(math.log10(self.p(tuple(padded[max(0, i - self.order + 1) : i]), padded[i])) for i in range(1, len(padded)))
+
+
+@pytest.mark.parametrize("order, hot, chunk_bytes", [(3, 300, 20_000), (3, 10**9, 10**7), (3, 1_000, 100), (2, 300, 20_000), (4, 300, 20_000), (1, 10, 20_000)])
+def test_katz(spark, tricky, rows, order, hot, chunk_bytes):
+    scores, model = katz.train_and_score(spark.read.parquet(f"{tricky}/documents.parquet"), order=order, hot=hot, chunk_bytes=chunk_bytes)
+    brute = BruteKatz(rows, order)
+    one = brute.one
+    assert abs(sum(brute.uni.values()) + one.unknown - 1) < 1e-9
+    some = list(brute.weights)
+    for h in some[:100] + some[-300:]:  # probabilities after a context sum to 1
+        whole = sum(brute.p(h, w) for w in brute.uni)
+        unknown = brute.p(h, "\t not a word")
+        assert abs(whole + unknown - 1) < 1e-9
     want = []
     for r in rows:
         tokens = words_of(r["text"])
-        want.append((r["doc_id"], katz.held_out(r["doc_id"], 7, 2), len(tokens), sum(uni[t] > 0 for t in tokens), total, sum(math.log10((uni[t] + 1) / (total + types + 1)) for t in tokens), sum(math.log10(p(v, w)) for v, w in zip(["\n", *tokens], tokens, strict=False))))
-    got = [tuple(r.values()) for r in found]
-    order = lambda x: (x[0] is None, x[0] or 0, x[2], x[5])
-    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        base = sum(math.log10((brute.count[1][t] + 1) / (brute.total + brute.types + 1)) for t in tokens)
+        want.append((r["doc_id"], katz.held_out(r["doc_id"], 7, 2), len(tokens), sum(brute.count[1][t] > 0 for t in tokens), brute.total, base, brute.score(r["text"])))
+    got = [tuple(r.values()) for r in collect(scores)]
+    order_of = lambda x: (x[0] is None, x[0] or 0, x[2], x[5])
+    for a, b in zip(sorted(got, key=order_of), sorted(want, key=order_of), strict=True):
         assert a[:5] == b[:5]
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
+    for n in range(2, order + 1):  # the tables hold the model
+        held = collect(katz.model_rows(model, n))
+        assert Counter(round(r["p"], 12) for r in held) == Counter(round(brute.p(h, w), 12) for h, follow in brute.after[n].items() for w in follow)
+        assert Counter(round(r["alpha"], 9) for r in held) == Counter(round(brute.weights[h][1], 9) for h, follow in brute.after[n].items() for _ in follow)
+
+
+def test_katz_tells_documents_that_occur_twice_apart(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(300)]
+    ids = [i for i in range(400) if not katz.held_out(i, 7, 2)][:200]
+    texts = [" ".join(words[int(300 * x**3)] for x in rng.random(80)) for _ in ids]
+    texts[100:150] = texts[:50]
+    found = {r["doc_id"]: r["score"] for r in collect(katz.katz_scores(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")))}
+    assert min(found[i] for i in ids[:50] + ids[100:150]) > max(found[i] for i in ids[50:100] + ids[150:])
 
 
 def test_katz_beats_the_base_on_held_out_documents(spark):

@@ -320,23 +320,47 @@ def test_secret_scan(spark, tricky, rows):
         want.append((r["doc_id"], n["assign"], n["access"], n["hex"], hashlib.sha256(spelled.encode()).hexdigest()))
     assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) for r in found) == Counter(want)
     assert any("random:" in r["spans"] for r in found if r["doc_id"] == 1026)
-    assert sum("random:" in r["spans"] for r in found) <= 6
+    assert sum("random:" in r["spans"] for r in found) <= 8
+
+
+def made_strings(rng, n, alphabet, least=20, most=44):
+    return ["".join(rng.choice(list(alphabet), rng.integers(least, most))) for _ in range(n)]
 
 
 def test_models_tell_random_strings_from_identifiers(spark):
     docs = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
-    ratio = secret_scan.train_ratio(docs)
+    models = secret_scan.train(docs)
     size = len(secret_scan.ALPHABET) + 1
+    assert models.recall > 0.97
 
     def mean(s):
         codes = [0, *(secret_scan.ALPHABET.find(c) + 1 for c in s)]
-        return sum(ratio[a * size + b] for a, b in zip(codes, codes[1:], strict=False)) / len(s)
+        return sum(models.ratio[a * size + b] for a, b in zip(codes, codes[1:], strict=False)) / len(s)
 
     rng = np.random.default_rng(1)
-    random = ["".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), 32)) for _ in range(200)]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet, least in ((upper + upper.lower() + "0123456789", 0.99), (upper + upper.lower(), 0.97), (upper + upper.lower() + "0123456789+/", 0.99), (upper.lower() + "0123456789", 0.97)):
+        assert np.mean([mean(s) > models.threshold for s in made_strings(rng, 300, alphabet)]) > least, alphabet
     plain = [f"{a}_{b}_{c}_value" for a in secret_scan.PARTS[:6] for b in secret_scan.PARTS[20:26] for c in secret_scan.PARTS[40:45]]
-    assert np.mean([mean(s) > secret_scan.THRESHOLD for s in random]) > 0.97
-    assert np.mean([mean(s) > secret_scan.THRESHOLD for s in plain]) < 0.01
+    plain += ["internationalization", "Donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "getElementsByClassName", "12345678901234567890", "====================", "--------------------"]
+    assert [s for s in plain if mean(s) > models.threshold] == []
+    words = [s for r in docs.select("text").collect() for s in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{20,}", r["text"] or "")]
+    assert np.mean([mean(s) > models.threshold for s in words]) < 0.02
+
+
+def test_random_strings_are_found_between_base_spans(spark):
+    rng = np.random.default_rng(2)
+    key, other = made_strings(rng, 2, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 30, 31)
+    long = " ".join(f"token={i:06d}" for i in range(700))
+    texts = [f"see qWzTkPvXbRmLcJhGfDsYnQwE there", f"{key}/password=hunter22x,{other}", f"é {key} É", long + " " + other, f"{key}" + "a" * 24]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    models = secret_scan.train(spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/documents.parquet"))
+    found = {r["doc_id"]: [(secret_scan.KINDS[s["kind"]], s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.scan(docs, models).collect()}
+    assert found[0] == [("random", 4, 28)]
+    assert found[1] == [("random", 0, 31), ("assign", 31, 48), ("random", 49, 79)]
+    assert found[2] == [("random", 2, 32)]
+    assert [s for s in found[3] if s[0] == "random"] == [("random", len(long) + 1, len(texts[3]))] and len(found[3]) == 701
+    assert [s for i in found for s in found[i] if s[0] != "random"] == [(k, a, e) for t in texts for a, _, e, k in base_spans(t)]
 
 
 # 6 token ids

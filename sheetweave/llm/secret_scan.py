@@ -7,7 +7,7 @@ a span of kind `random`. Models and threshold are trained from labelled samples:
 hexadecimal and base64, and in letters alone) and the values the base patterns found are random; numbers and lines of
 signs drawn by rule, the corpus's own words, identifiers joined from these and from common words are ordinary. The corpus part is a sample
 of SAMPLE_ROWS documents expected, chosen by hash. One half of the strings gives the models, the other half the
-threshold: the ratio over which FALSE_ALARMS of its ordinary strings lie.
+threshold.
 
 Defined results: null text is empty and has no spans; rows of one id are scanned one by one; positions are code
 points, ends exclusive; other columns are ignored; an empty table gives no rows, as models then learn from the strings
@@ -36,8 +36,11 @@ KINDS = [*BASE, "random"]
 LEAST = 20
 RUN = r"()((?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,})" % LEAST
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents expected in the training sample, rows of rule-made strings, ordinary strings held out that may lie over the threshold.
-SAMPLE_ROWS, RULE_ROWS, FALSE_ALARMS = 2_000, 2_000, 0.001
+#: Documents expected in the training sample, and rows of rule-made strings.
+SAMPLE_ROWS, RULE_ROWS = 2_000, 2_000
+#: The threshold lies halfway between the ratio that this part of ordinary strings held out exceeds and the ratio that
+#: this part of random ones falls short of, and not under the first.
+FALSE_ALARMS, MISSES = 0.001, 0.01
 #: Pseudo-counts of a character's followers in all; matches whose places are added up together.
 PRIOR, BLOCK = 50, 128
 # Words that identifiers are joined from.
@@ -125,7 +128,9 @@ def train(documents: DataFrame) -> Models:
         chance = [[(x + PRIOR * p) / (sum(of[k]) + PRIOR) for x, p in zip(of[k], both, strict=True)] for k in (0, 1)]
         ratio += [0.0, *(math.log2(y / x) for x, y in zip(*chance, strict=True))]
     held = sample.where((F.col("half") == 1) & (F.char_length("s") >= LEAST)).select("random", mean_ratio(F.col("s"), ratio).alias("r"))
-    limit = held.where("random = 0").agg(F.percentile("r", F.lit(1 - FALSE_ALARMS)).alias("t")).first()["t"] or 0.0
+    low = held.where("random = 0").agg(F.percentile("r", F.lit(1 - FALSE_ALARMS)).alias("t")).first()["t"] or 0.0
+    high = held.where("random = 1").agg(F.percentile("r", F.lit(MISSES)).alias("t")).first()["t"] or 0.0
+    limit = max(low, (low + high) / 2)
     recall = held.where("random = 1").agg(F.avg((F.col("r") > F.lit(limit)).cast("int")).alias("x")).first()["x"] or 0.0
     discard(sample)
     return Models(ratio, float(limit), float(recall))

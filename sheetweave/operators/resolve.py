@@ -85,21 +85,27 @@ def contract(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Per (src, dst, relation) the edge over fewest stubs stays, then the smallest via. Stubs in a ring are an error.
     """
-    outs, ins = pairs.select(F.col("from_key").alias("out_stub"), F.col("to_key").alias("in_stub")), pairs.select(F.col("to_key").alias("stub"))
+    edges, pairs = stash(edges.select("src", "dst", "relation"), "contract-edges"), stash(pairs.select("from_key", "to_key"), "contract-pairs")
+    ins = pairs.select(F.col("to_key").alias("src"))
     none = F.array().cast("array<string>")
-    start = edges.join(ins.withColumnRenamed("stub", "src"), "src", "left_anti").select("src", "dst", "relation", none.alias("via"))
-    onward = stash(outs.join(edges.select(F.col("src").alias("in_stub"), F.col("dst").alias("next")), "in_stub"), "stub-steps")
-    total, rounds, done = pairs.count(), 0, None
+    start = edges.join(ins, "src", "left_anti").select("src", "dst", "relation", none.alias("via"))
+    # where an edge into a stub comes out, and by which stubs; steps are joined to steps, twice as far each time
+    steps = stash(pairs.join(edges.select(F.col("src").alias("to_key"), F.col("dst").alias("next")), "to_key").select(F.col("from_key").alias("stub"), "next", F.array("from_key", "to_key").alias("hops")), "stub-steps")
+    lost = pairs.join(steps.select(F.col("stub").alias("from_key")), "from_key", "left_anti").select(F.col("from_key").alias("dst"))
+    total, rounds = steps.count(), 0
     while True:
-        crossing = start.join(onward, start.dst == onward.out_stub)
-        ready = start.join(outs, start.dst == outs.out_stub, "left_anti")
-        done = ready if done is None else done.unionByName(ready)
-        start = stash(crossing.select("src", F.col("next").alias("dst"), "relation", F.concat("via", F.array("out_stub", "in_stub")).alias("via")), "contract")
-        if start.isEmpty():
+        onward = steps.select(F.col("stub").alias("s"), F.col("next").alias("n"), F.col("hops").alias("h"))
+        joined = steps.join(onward, steps.next == onward.s, "left")
+        moved = stash(joined.select("stub", F.coalesce("n", "next").alias("next"), F.concat("hops", F.coalesce("h", none)).alias("hops"), F.col("n").isNotNull().alias("moved")), "stub-steps")
+        steps = moved.drop("moved")
+        if moved.where("moved").isEmpty():
             break
         rounds += 1
-        if rounds > total:
+        if 1 << rounds > 2 * total + 2:
             raise ValueError("stubs form a ring")
+    direct = start.join(pairs.select(F.col("from_key").alias("dst")), "dst", "left_anti").select("src", "dst", "relation", "via")
+    crossing = start.join(steps, start.dst == steps.stub).select("src", F.col("next").alias("dst"), "relation", F.col("hops").alias("via"))
+    done = direct.unionByName(crossing.join(lost, "dst", "left_anti"))
     best = Window.partitionBy("src", "dst", "relation").orderBy(F.size("via"), "via")
     return done.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n")
 

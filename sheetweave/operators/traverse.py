@@ -1,16 +1,21 @@
 """Walks over an edge table (src, dst): closures, layered shortest paths, isolation, folding, nearest owners.
 
-All walks run for many starts at once: a frontier (start, node) is joined with the edges, layer by layer, and what a
-start has reached already is removed by an anti join. Each layer is a written table, so plans stay short and a lost
-executor repeats one layer. Layers are as many as the longest shortest walk, whatever the graph's size.
+All walks run for many starts at once. Over a graph of up to compact.MOST_EDGES edges, which is seen while they are
+collected, every task has the whole graph and walks from its own starts. Beyond that a frontier (start, node) is joined
+with the edges, layer by layer, and what a start has reached already is removed by an anti join. Each layer is then a
+written table, so plans stay short and a lost executor repeats one layer. Layers are as many as the longest shortest
+walk, whatever the graph's size.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import stash
+from ..lineage import stash, with_rank
+from . import compact
 
 KEYS = ["start", "node"]
 
@@ -40,6 +45,9 @@ def closure(edges: DataFrame, starts: DataFrame, direction: str = "down", stop:
     along = oriented(edges, direction)
     if walk is not None:
         along = along.join(walk.select(F.col("node").alias("dst")), "dst", "left_semi")
+    graph = compact.graph_of(along)
+    if graph is not None:
+        return compact.closure(graph, starts, compact.marked(graph, stop) if stop is not None else None, max_hops)
     along = stash(along, "walk-edges")
     stops = stop.select("node").distinct().withColumn("stopped", F.lit(True)) if stop is not None else None
     frontier = stash(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(False).alias("stopped")).distinct(), "walk-0")
@@ -101,6 +109,13 @@ def layered(edges: DataFrame, starts: DataFrame, key: Column, names: DataFrame,
     if weight is not None:
         along = along.join(weight.select("src", "dst", "w"), ["src", "dst"], "left")
     along = stash(along.select("src", "dst", "key", (F.coalesce("w", F.lit(0)) if weight is not None else F.lit(0)).alias("w")), "layer-edges")
+    graph = compact.graph_of(along, "w")
+    if graph is not None:
+        order = compact.order_of_keys(compact.node_values(graph, along.select(F.col("dst").alias("node"), "key").distinct(), "key")["key"])
+        starts = starts.select("start").distinct()
+        if targets is not None:
+            starts = starts.join(targets.groupBy("start").agg(F.collect_list("node").alias("targets")), "start", "left")
+        return compact.shortest_trees(graph, starts, order, graph.values["w"] if weight is not None else None)
     frontier = stash(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent"), F.lit(1).alias("rank"), F.lit(0).alias("weight")).distinct(), "layer-0")
     seen, hops = frontier, 0
     while True:
@@ -110,8 +125,11 @@ def layered(edges: DataFrame, starts: DataFrame, key: Column, names: DataFrame,
         offers = offers.withColumn("offer", F.row_number().over(best)).where("offer = 1")
         new = offers.select("start", F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("rank").alias("above"), "key", (F.col("weight") + F.col("w")).alias("weight"))
         new = new.join(seen, KEYS, "left_anti")
-        order = Window.partitionBy("start").orderBy("above", "key")
-        new = new.withColumn("rank", F.dense_rank().over(order)).withColumn("hops", F.lit(hops))
+        # ranks may have gaps: a position in the layer, equal for equal (above, key)
+        placed = with_rank(new, [F.col("above"), F.col("key")], "layer-placed", "rank", ["start"])
+        first = placed.groupBy(F.col("start").alias("s"), F.col("above").alias("a"), F.col("key").alias("k")).agg(F.min("rank").alias("r"))
+        new = placed.drop("rank").join(first, F.col("start").eqNullSafe(F.col("s")) & (F.col("above") == F.col("a")) & F.col("key").eqNullSafe(F.col("k")))
+        new = new.withColumn("rank", (F.col("r") + 1).cast("int")).withColumn("hops", F.lit(hops))
         frontier = stash(new.select("start", "node", "hops", "parent", "rank", "weight"), f"layer-{hops}")
         if frontier.isEmpty():
             break
@@ -140,6 +158,49 @@ def paths(tree: DataFrame, targets: DataFrame) -> DataFrame:
         open_ = stash(step, "path-open")
 
 
+def routes(edges: DataFrame, asked: DataFrame, key: Column, names: DataFrame, direction: str = "down") -> DataFrame:
+    """(start, node, path array<string>) of asked pairs (start, node) that a walk joins: the shortest, ties to the smallest
+    sequence of keys."""
+    along = oriented(edges, direction)
+    graph = compact.graph_of(along)
+    if graph is not None:
+        order = compact.order_of_keys(compact.node_values(graph, names.select("node", key.alias("key")), "key")["key"])
+        return compact.shortest_routes(graph, asked.groupBy("start").agg(F.collect_set("node").alias("targets")), order, graph.names.to_pylist())
+    return paths(layered(edges, asked.select("start").distinct(), key, names, direction), asked.select("start", "node").distinct())
+
+
+def reached_pairs(edges: DataFrame, asked: DataFrame, direction: str = "down") -> DataFrame:
+    """(start, node, reached) of asked pairs (start, node)."""
+    graph = compact.graph_of(oriented(edges, direction))
+    if graph is not None:
+        return compact.reaches(graph, asked.select("start", "node").distinct())
+    found = closure(edges, asked.select("start").distinct(), direction).select("start", "node", F.lit(True).alias("r"))
+    return asked.select("start", "node").distinct().join(found, KEYS, "left").select("start", "node", F.coalesce("r", F.lit(False)).alias("reached"))
+
+
+def reached_values(edges: DataFrame, starts: DataFrame, values: DataFrame, direction: str = "down", same: bool = False) -> DataFrame:
+    """(start, n, values): how many nodes with a value (node, value) each start reaches, and the sorted distinct values. With
+    `same`, `values` also has a column group, and only nodes of the start's own group count."""
+    graph = compact.graph_of(oriented(edges, direction))
+    if graph is not None:
+        held = compact.node_values(graph, values, "value", *(["group"] if same else []))
+        return compact.reached_values(graph, starts, held["value"], held.get("group"))
+    found = closure(edges, starts, direction).where("node <> start").join(values.where("value is not null"), "node")
+    if same:
+        found = found.join(values.select(F.col("node").alias("start"), F.col("group").alias("own")), "start").where("group <=> own")
+    counted = found.groupBy("start").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("value")).alias("values"))
+    return starts.select("start").distinct().join(counted, "start", "left").select("start", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+
+
+def valve_ranges(edges: DataFrame, starts: DataFrame, counted: DataFrame) -> DataFrame:
+    """(start, node, low, high) as count_ranges(), from starts and edges alone."""
+    graph = compact.graph_of(oriented(edges, "down"))
+    if graph is not None:
+        return compact.count_ranges(graph, starts, compact.marked(graph, counted))
+    own = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
+    return count_ranges(edges, closure(edges, starts, "down").where("node <> start").select("start", "node", "hops").unionByName(own), counted)
+
+
 def isolation(edges: DataFrame, items: DataFrame, valves: DataFrame, direction: str) -> DataFrame:
     """(start, node): the first valves on every route from an item; an item with a route that ends before one has no row."""
     along = oriented(edges, direction)
@@ -158,6 +219,9 @@ def fold_lines(edges: DataFrame, nodes: DataFrame, items: DataFrame) -> DataFram
     """
     along = edges.select("src", "dst").distinct()
     target = nodes.select(F.col("node").alias("dst"), F.col("tag").alias("dst_tag")).join(items.select(F.col("node").alias("dst"), F.lit(True).alias("item")), "dst", "left")
+    graph = compact.graph_of(along)
+    if graph is not None:
+        return compact.fold_lines(graph, compact.marked(graph, items), compact.node_values(graph, nodes, "tag")["tag"])
     along = stash(along.join(target, "dst").withColumn("item", F.coalesce("item", F.lit(False))), "fold-edges")
     passed = items.select(F.col("node").alias("source"), F.col("node").alias("at"), F.array().cast("array<string>").alias("route"), F.array().cast("array<string>").alias("tags"))
     frontier, seen, found = passed, passed.select("source", F.col("at").alias("part")), None
@@ -188,7 +252,8 @@ def line_ends(items: DataFrame, line_edges: DataFrame) -> DataFrame:
 
 
 def nearest_owners(edges: DataFrame, nodes: DataFrame, owners: DataFrame, unit: str | None = None) -> DataFrame:
-    """(node, owner, hops): each node's nearest owner without regard to direction, ties to the smallest owner rank.
+    """(node, owner, hops): each node's nearest owner without regard to direction; of several the one whose neighbour of
+    this node was found first, from owners in order of name, neighbour by neighbour.
 
     With `unit`, a node takes only owners of its own unit. Nodes that no owner reaches own themselves (hops null).
     """
@@ -196,18 +261,32 @@ def nearest_owners(edges: DataFrame, nodes: DataFrame, owners: DataFrame, unit:
     if unit:
         ends = nodes.select(F.col("node").alias("n"), F.col(unit).alias("u"))
         along = along.join(ends.select(F.col("n").alias("src"), F.col("u").alias("us")), "src").join(ends.select(F.col("n").alias("dst"), F.col("u").alias("ud")), "dst").where("us <=> ud").select("src", "dst")
+    graph = compact.graph_of(along)
+    if graph is not None:
+        marks = compact.marked(graph, owners)
+        found, distance = compact.nearest_owners(graph, marks)
+        at = np.flatnonzero(found >= 0)
+        table = pa.table({"node": graph.names.take(pa.array(at)), "owner": graph.names.take(pa.array(found[at])), "hops": pa.array(distance[at], pa.int32())})
+        seen = nodes.sparkSession.createDataFrame(table) if len(at) else nodes.sparkSession.createDataFrame([], "node string, owner string, hops int")
+        # owners without any edge own themselves at 0
+        lone = owners.select("node").join(seen.select("node"), "node", "left_anti").select("node", F.col("node").alias("owner"), F.lit(0).alias("hops"))
+        seen = seen.unionByName(lone)
+        return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("owner", "node").alias("owner"), "hops")
     along = stash(along, "owner-edges")
-    frontier = stash(owners.select("node", F.col("node").alias("owner"), F.lit(0).alias("hops")), "owner-0")
+    first = with_rank(owners.select("node"), [F.col("node")], "owner-ranks", "found")
+    frontier = stash(first.select("node", F.col("node").alias("owner"), F.lit(0).alias("hops"), "found"), "owner-0")
     seen, hops = frontier, 0
     while True:
         hops += 1
-        offers = frontier.join(along, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("owner").alias("owner"))
-        frontier = stash(offers.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops)), "owner")
+        offers = frontier.join(along, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min_by("owner", "found").alias("owner"), F.min("found").alias("by"))
+        new = offers.join(seen, "node", "left_anti").withColumn("hops", F.lit(hops))
+        frontier = stash(with_rank(new, [F.col("by"), F.col("node")], "owner-ranks", "found").drop("by"), "owner")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if hops % 8 == 0:
             seen = stash(seen, "owner-seen")
+    seen = seen.drop("found")
     return nodes.select("node").join(seen, "node", "left").select("node", F.coalesce("owner", "node").alias("owner"), "hops")
 
 
@@ -247,6 +326,17 @@ def final_homes(links: DataFrame) -> DataFrame:
         table = jumped.select("node", "home")
 
 
+def routes_without(edges: DataFrame, asked: DataFrame, source: str) -> DataFrame:
+    """(removed, n_reached, reached array<boolean>) of (removed, targets array<string>): what a source reaches when a node
+    is taken away, in number and for each target."""
+    graph = compact.graph_of(oriented(edges, "down"))
+    if graph is not None:
+        return compact.reach_without(graph, asked, source)
+    found = reach_without(edges, asked.select("removed"), source).groupBy("removed").agg(F.count("*").alias("n"), F.collect_set("node").alias("nodes"))
+    hits = F.transform("targets", lambda t: F.coalesce(F.array_contains("nodes", t), F.lit(False)))
+    return asked.join(found, "removed", "left").select("removed", F.coalesce("n", F.lit(0)).alias("n_reached"), hits.alias("reached"))
+
+
 def reach_without(edges: DataFrame, removed: DataFrame, source: str) -> DataFrame:
     """(removed, node) of what a source reaches when a node is taken away, for every removed node at once."""
     along = stash(oriented(edges, "down"), "without-edges")
@@ -269,6 +359,12 @@ def meeting_points(edges: DataFrame, starts: DataFrame, items: DataFrame) -> Dat
 
     Common descendants D of a pair are counted; a member whose own reach meets D in all of it qualifies.
     """
+    graph = compact.graph_of(oriented(edges, "down"))
+    if graph is not None:
+        names = [r["start"] for r in starts.select("start").distinct().join(oriented(edges, "down").select(F.col("src").alias("start")).distinct(), "start", "left_semi").collect()]  # nodes of the graph
+        found = compact.meeting_points(graph, sorted(graph.index(names).tolist()) if names else [], compact.marked(graph, items))
+        if found is not None:
+            return found
     down = stash(closure(edges, starts, "down").where("start <> node").select("start", "node"), "meet-reach")
     a, b = down.select(F.col("start").alias("first"), "node"), down.select(F.col("start").alias("second"), "node")
     common = a.join(b, "node").where("first < second")

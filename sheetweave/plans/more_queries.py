@@ -10,7 +10,7 @@ from ..operators import resolve, runs, traverse
 from ..schema import EQUIPMENT, class_dim
 from . import projection as P
 from .catalog import query
-from .plant_queries import ALL_DOWN, RANKED, _starts, joined, reach_table
+from .plant_queries import ALL_DOWN, joined
 from .projection import with_sql
 from .run_queries import BINS, CUT, TAGGED, equipment_drawings, homes, split_flow, stub_labels
 
@@ -137,10 +137,10 @@ def original_keys(spark, sf_dir):
 
 @query("jn17_evidence_recall", """
 WITH w AS (SELECT doc_id, list_distinct(string_split(lower(text), ' ')) AS words FROM documents WHERE text IS NOT NULL), e AS (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS words FROM benchmark)
-SELECT w.doc_id, e.item_id, round(len(list_intersect(w.words, e.words)) / len(e.words), 6) AS recall FROM w JOIN e ON w.doc_id % 40 = e.item_id WHERE w.doc_id < 400""")
+SELECT w.doc_id, e.item_id, round(len(list_intersect(w.words, e.words)) / len(e.words), 6) AS recall FROM w JOIN e ON w.doc_id % 40 = e.item_id""")
 def evidence_recall(spark, sf_dir):
     words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    d = P.read(spark, sf_dir, "documents").where("text is not null and doc_id < 400").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), words("text").alias("d"))
+    d = P.read(spark, sf_dir, "documents").where("text is not null").select("doc_id", (F.col("doc_id") % 40).alias("item_id"), words("text").alias("d"))
     e = P.read(spark, sf_dir, "benchmark").select("item_id", words("text").alias("e"))
     return d.join(e, "item_id").select("doc_id", "item_id", F.round(F.size(F.array_intersect("d", "e")) / F.size("e"), 6).alias("recall"))
 
@@ -213,32 +213,36 @@ def store_invariants(spark, sf_dir):
 # --- families and sampling
 
 
-@query("q06_flow_paths", with_sql("nodes", "flow", recursive=RANKED.format(start="p0")) + "SELECT node, array_to_string(list_filter(tags, lambda x: x <> ''), '>') AS answer FROM shortest WHERE n = 1 AND hops BETWEEN 2 AND 5 AND node IN (SELECT node FROM nodes WHERE kind = 'equipment')")
+@query("q06_flow_paths")
 def flow_paths(spark, sf_dir):
-    nodes = P.nodes(spark, sf_dir)
-    tree = traverse.layered(P.flow(spark, sf_dir), spark.createDataFrame([("p0",)], "start string"), F.coalesce("tag", "node"), nodes)
-    targets = tree.where("hops between 2 and 5").join(nodes.where(F.col("node_class").isin(*EQUIPMENT)).select("node"), "node", "left_semi").select("start", "node")
-    steps = traverse.paths(tree, targets).select("node", F.posexplode("path").alias("at", "step"))
+    """From every equipment item the tags on the way to each equipment item 2 to 5 hops away."""
+    nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
+    equipment = nodes.where(F.col("node_class").isin(*EQUIPMENT)).select("node")
+    near = traverse.closure(flow, equipment.select(F.col("node").alias("start")), "down", max_hops=5)
+    asked = near.where("hops >= 2").join(equipment, "node", "left_semi").select("start", "node")
+    steps = traverse.routes(flow, asked, F.coalesce("tag", "node"), nodes).select("start", "node", F.posexplode("path").alias("at", "step"))
     named = steps.join(nodes.select(F.col("node").alias("step"), F.coalesce("tag", "node").alias("name")), "step")
-    return named.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ">").alias("answer"))
+    return named.groupBy("start", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ">").alias("answer"))
 
 
 @query("q11_no_path", with_sql("nodes", "flow", recursive=ALL_DOWN) + """SELECT s.node AS source, t.node AS target FROM starts s JOIN nodes t ON CAST(t.node[2:] AS BIGINT) = CAST(s.node[2:] AS BIGINT) // 2 + 1 AND t.kind = 'equipment' WHERE s.node <> t.node AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = s.node AND r.node = t.node)""")
 def no_path(spark, sf_dir):
     items = P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node", F.substring("node", 2, 20).cast("long").alias("k"))
     pairs = items.select(F.col("node").alias("source"), (F.floor(F.col("k") / 2) + 1).alias("k")).join(items.select(F.col("node").alias("target"), "k"), "k").where("source <> target")
-    reached = reach_table(spark, sf_dir).select(F.col("start").alias("source"), F.col("node").alias("target"))
-    return pairs.join(reached, ["source", "target"], "left_anti").select("source", "target")
+    reached = traverse.reached_pairs(P.flow(spark, sf_dir), pairs.select(F.col("source").alias("start"), F.col("target").alias("node")))
+    return reached.where("not reached").select(F.col("start").alias("source"), F.col("node").alias("target"))
 
 
-@query("q24_route_avoiding_answers", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE node_class = 'GlobeValve' AND unit IN ('U02', 'U12')), walk(removed, node) AS (SELECT node, 'p0' FROM cut UNION SELECT w.removed, f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst <> w.removed)""") + """SELECT c.node AS avoiding, t.node AS target, EXISTS (SELECT 1 FROM walk w WHERE w.removed = c.node AND w.node = t.node) AS answer FROM cut c JOIN nodes t ON CAST(t.node[2:] AS BIGINT) BETWEEN CAST(c.node[2:] AS BIGINT) * 2 + 1 AND CAST(c.node[2:] AS BIGINT) * 2 + 2 AND t.node LIKE 'p%'""")
-def route_avoiding_answers(spark, sf_dir):
+@query("q24_route_avoiding_answers", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE node_class = 'GlobeValve'), walk(removed, node) AS (SELECT node, 'p0' FROM cut UNION SELECT w.removed, f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst <> w.removed)""") + """SELECT c.node AS avoiding, t.node AS target, EXISTS (SELECT 1 FROM walk w WHERE w.removed = c.node AND w.node = t.node) AS answer FROM cut c JOIN nodes t ON CAST(t.node[2:] AS BIGINT) BETWEEN CAST(c.node[2:] AS BIGINT) * 2 + 1 AND CAST(c.node[2:] AS BIGINT) * 2 + 2 AND t.node LIKE 'p%'""")
+def route_avoiding_answers(spark, sf_dir, source="p0"):
+    """Whether what a globe valve feeds is still reached from an item without that valve."""
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    cut = nodes.where("node_class = 'GlobeValve' and unit in ('U02', 'U12')").select(F.col("node").alias("removed"))
     k = F.substring("removed", 2, 20).cast("long")
-    asked = cut.withColumn("target", F.explode(F.array(*(F.concat(F.lit("p"), (k * 2 + i).cast("string")) for i in (1, 2))))).join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
-    reached = traverse.reach_without(flow, cut, "p0").select("removed", F.col("node").alias("target"), F.lit(True).alias("r"))
-    return asked.join(reached, ["removed", "target"], "left").select(F.col("removed").alias("avoiding"), "target", F.coalesce("r", F.lit(False)).alias("answer"))
+    fed = F.array(*(F.concat(F.lit("p"), (k * 2 + i).cast("string")) for i in (1, 2)))
+    asked = nodes.where("node_class = 'GlobeValve'").select(F.col("node").alias("removed")).withColumn("target", F.explode(fed)).join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    asked = asked.groupBy("removed").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    found = traverse.routes_without(flow, asked, source).join(asked, "removed")
+    return found.select(F.col("removed").alias("avoiding"), F.explode(F.arrays_zip("targets", "reached")).alias("x")).select("avoiding", F.col("x.targets").alias("target"), F.col("x.reached").alias("answer"))
 
 
 @query("q26_evidence_sheets", with_sql("flow", "drawings") + ", home AS (SELECT node, min(sheet) AS sheet FROM drawings GROUP BY 1) SELECT src AS item, string_agg(DISTINCT sheet, ',' ORDER BY sheet) AS sheets FROM (SELECT f.src, h.sheet FROM flow f JOIN home h ON h.node = f.src UNION ALL SELECT f.src, h.sheet FROM flow f JOIN home h ON h.node = f.dst) x GROUP BY 1")
@@ -335,10 +339,10 @@ def score_answers(spark, sf_dir):
     return r.select("event_id", scalars.score_answer(F.col("question") % 5 != 0, "outcome", F.col("k") == 0, F.col("correct")).alias("scored"))
 
 
-@query("sc9_tags_in_text", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))), ',') AS tags FROM documents WHERE doc_id < 100")
+@query("sc9_tags_in_text", "SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))), ',') AS tags FROM documents")
 def tags_in_text(spark, sf_dir):
     found = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))))
-    return P.read(spark, sf_dir, "documents").where("doc_id < 100").select("doc_id", F.array_join(found, ",").alias("tags"))
+    return P.read(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("tags"))
 
 
 @query("sc12_tag_variants", with_sql("nodes") + "SELECT tag, replace(tag, '-', '') AS drop_separator, replace(tag, '-', '/') AS swap_separator, lower(tag) AS lower_case FROM nodes WHERE tag IS NOT NULL")
@@ -368,17 +372,19 @@ def routing_hit(spark, sf_dir):
 
 
 @query("gr18_tree_parents", with_sql("nodes", "flow", recursive="walk(node, hops) AS (SELECT 'p2', 0 UNION SELECT f.dst, w.hops + 1 FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 20), least AS (SELECT node, min(hops) AS hops FROM walk GROUP BY 1)") + "SELECT l.node, l.hops, min(p.node) AS parent FROM least l JOIN flow f ON f.dst = l.node JOIN least p ON p.node = f.src AND p.hops = l.hops - 1 GROUP BY ALL")
-def tree_parents(spark, sf_dir):
+def tree_parents(spark, sf_dir, start="p2"):
+    """Each node an item reaches, with its first neighbour on a shortest way back."""
     flow = P.flow(spark, sf_dir)
-    reached = traverse.closure(flow, spark.createDataFrame([("p2",)], "start string"), "down").where("node <> 'p2'").select("node", "hops")
-    above = reached.unionByName(spark.createDataFrame([("p2", 0)], "node string, hops int")).select(F.col("node").alias("src"), (F.col("hops") + 1).alias("hops"))
+    reached = traverse.closure(flow, spark.createDataFrame([(start,)], "start string"), "down").where(F.col("node") != start).select("node", "hops")
+    above = reached.unionByName(spark.createDataFrame([(start, 0)], "node string, hops int")).select(F.col("node").alias("src"), (F.col("hops") + 1).alias("hops"))
     return reached.join(flow, reached.node == flow.dst).join(above, ["src", "hops"]).groupBy("node", "hops").agg(F.min("src").alias("parent"))
 
 
 @query("gr22_path_within_sheets", with_sql("nodes", "flow", "drawings", recursive="inside AS (SELECT DISTINCT node FROM drawings WHERE sheet < '199712'), walk(node) AS (SELECT 'p1' UNION SELECT f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst IN (SELECT node FROM inside))") + "SELECT node FROM walk WHERE node <> 'p1'")
-def path_within_sheets(spark, sf_dir):
-    inside = P.drawings(spark, sf_dir).where("sheet < '199712'").select("node").distinct()
-    return traverse.closure(P.flow(spark, sf_dir), _starts(P.nodes(spark, sf_dir), "node = 'p1'"), "down", walk=inside).where("node <> 'p1'").select("node")
+def path_within_sheets(spark, sf_dir, start="p1", before="199712"):
+    """What an item reaches over parts drawn on sheets before a month."""
+    inside = P.drawings(spark, sf_dir).where(F.col("sheet") < before).select("node").distinct()
+    return traverse.closure(P.flow(spark, sf_dir), spark.createDataFrame([(start,)], "start string"), "down", walk=inside).where(F.col("node") != start).select("node")
 
 
 @query("src16_generated_plant")

@@ -165,8 +165,10 @@ def _starts(nodes: DataFrame, condition: str) -> DataFrame:
 
 
 @query("gr1_closure_down", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node IN ('p5', 'p40', 'p97')), " + WALK.format(**DOWN, depth=30, more="")) + "SELECT start, node, min(hops) AS hops FROM walk WHERE start <> node GROUP BY ALL")
-def closure_down(spark, sf_dir):
-    starts = _starts(P.nodes(spark, sf_dir), "node in ('p5', 'p40', 'p97')")
+def closure_down(spark, sf_dir, items=("p5", "p40", "p97")):
+    """All that some items reach."""
+    nodes = P.nodes(spark, sf_dir)
+    starts = nodes.where(F.col("node").isin(*items)).select(F.col("node").alias("start"))
     return traverse.closure(P.flow(spark, sf_dir), starts, "down").select("start", "node", "hops")
 
 
@@ -188,9 +190,11 @@ def closure_in_unit(spark, sf_dir):
 @query("gr1_ends_and_cuts", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node IN ('p1', 'p2')), " + WALK.format(**DOWN, depth=4, more="")) + """, r AS (SELECT start, node, min(hops) AS hops FROM walk WHERE start <> node GROUP BY ALL)
 SELECT start, node, 'end' AS mark FROM r WHERE node NOT IN (SELECT src FROM flow)
 UNION ALL SELECT DISTINCT r.start, r.node, 'cut' FROM r JOIN flow f ON f.src = r.node WHERE r.hops = 4 AND f.dst <> r.start AND NOT EXISTS (SELECT 1 FROM r x WHERE x.start = r.start AND x.node = f.dst)""")
-def ends_and_cuts(spark, sf_dir):
+def ends_and_cuts(spark, sf_dir, items=("p1", "p2")):
+    """Where walks of 4 hops from some items end, and where they are cut."""
     flow = P.flow(spark, sf_dir)
-    reached = traverse.closure(flow, _starts(P.nodes(spark, sf_dir), "node in ('p1', 'p2')"), "down", max_hops=4)
+    starts = P.nodes(spark, sf_dir).where(F.col("node").isin(*items)).select(F.col("node").alias("start"))
+    reached = traverse.closure(flow, starts, "down", max_hops=4)
     ends = traverse.boundary(reached, flow, "down").select("start", "node", F.lit("end").alias("mark"))
     return ends.unionByName(traverse.cut_by_hops(reached, flow, "down", 4).withColumn("mark", F.lit("cut")))
 
@@ -207,20 +211,22 @@ shortest AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, tags,
 
 
 @query("gr3_shortest_path", with_sql("nodes", "flow", recursive=RANKED.format(start="p3")) + "SELECT 'p3' AS start, node, array_to_string(path, '>') AS path, hops FROM shortest WHERE n = 1 AND node IN (SELECT node FROM nodes WHERE unit = 'U07' AND kind = 'equipment') AND node <> 'p3'")
-def shortest_path(spark, sf_dir):
+def shortest_path(spark, sf_dir, start="p3", unit="U07"):
+    """Routes from an item to all equipment of a unit."""
     nodes = P.nodes(spark, sf_dir)
-    tree = traverse.layered(P.flow(spark, sf_dir), spark.createDataFrame([("p3",)], "start string"), F.coalesce("tag", "node"), nodes)
-    targets = nodes.where("unit = 'U07' and kind = 'equipment' and node <> 'p3'").select(F.lit("p3").alias("start"), "node")
-    return traverse.paths(tree, targets).select("start", "node", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
+    asked = nodes.where((F.col("unit") == unit) & (F.col("kind") == "equipment") & (F.col("node") != start)).select(F.lit(start).alias("start"), "node")
+    found = traverse.routes(P.flow(spark, sf_dir), asked, F.coalesce("tag", "node"), nodes)
+    return found.select("start", "node", F.array_join("path", ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
 @query("gr4_reach_with_crossings", with_sql("nodes", "flow", recursive=RANKED.format(start="p1")) + """, c AS (SELECT node, hops, list_sum(list_transform(range(1, len(path)), lambda i: CASE WHEN CAST(path[i][2:] AS BIGINT) % 25 <> CAST(path[i + 1][2:] AS BIGINT) % 25 THEN 1 ELSE 0 END)) AS k FROM shortest WHERE n = 1 AND hops > 0)
 SELECT 'p1' AS start, node, hops, CAST(k AS BIGINT) AS k FROM c""")
-def reach_with_crossings(spark, sf_dir):
+def reach_with_crossings(spark, sf_dir, start="p1"):
+    """The tree of shortest routes from an item, with the changes of unit on the way."""
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
     units = nodes.select("node", "unit")
     weight = flow.join(units.toDF("src", "us"), "src").join(units.toDF("dst", "ud"), "dst").select("src", "dst", (F.col("us") != F.col("ud")).cast("int").alias("w"))
-    tree = traverse.layered(flow, spark.createDataFrame([("p1",)], "start string"), F.coalesce("tag", "node"), nodes, weight=weight)
+    tree = traverse.layered(flow, spark.createDataFrame([(start,)], "start string"), F.coalesce("tag", "node"), nodes, weight=weight)
     return tree.where("hops > 0").select("start", "node", "hops", F.col("weight").cast("long").alias("k"))
 
 
@@ -273,10 +279,6 @@ def downstream_isolation(spark, sf_dir):
     return _isolation(spark, sf_dir, "down")
 
 
-def reach_table(spark, sf_dir, condition="kind = 'equipment'", direction="down") -> DataFrame:
-    nodes = P.nodes(spark, sf_dir)
-    return traverse.closure(P.flow(spark, sf_dir), _starts(nodes, condition), direction)
-
 
 ALL_DOWN = "starts AS (SELECT node FROM nodes WHERE kind = 'equipment'), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.dst FROM reach r JOIN flow e ON e.src = r.node)"
 ALL_UP = "starts AS (SELECT node FROM nodes WHERE kind = 'equipment'), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.src FROM reach r JOIN flow e ON e.dst = r.node)"
@@ -287,8 +289,8 @@ def unreachable(spark, sf_dir):
     """How many equipment items each equipment item does not reach: all there are, less what it reaches."""
     items = P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node")
     n = items.count()
-    reached = reach_table(spark, sf_dir).join(items, "node", "left_semi").where("start <> node").groupBy("start").agg(F.count("*").alias("r"))
-    return items.join(reached, items.node == reached.start, "left").select(F.col("node").alias("start"), (F.lit(n - 1) - F.coalesce("r", F.lit(0))).alias("n_unreachable"))
+    reached = traverse.reached_values(P.flow(spark, sf_dir), items.select(F.col("node").alias("start")), items.withColumn("value", F.lit("")))
+    return reached.select("start", (F.lit(n - 1) - F.col("n")).alias("n_unreachable"))
 
 
 @query("gr24_nearest_owner", with_sql("nodes", "flow", recursive="""twoway AS (SELECT src, dst FROM flow UNION SELECT dst, src FROM flow),
@@ -301,31 +303,31 @@ def nearest_owner(spark, sf_dir):
 @query("gr20_valve_ranges", with_sql("nodes", "flow", recursive="""walk(node, hops, n) AS (
   SELECT 'p1', 0, 0 UNION SELECT f.dst, w.hops + 1, w.n + CASE WHEN w.node <> 'p1' AND w.node IN (SELECT node FROM nodes WHERE kind = 'valve') THEN 1 ELSE 0 END FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 20),
 least AS (SELECT node, min(hops) AS hops FROM walk GROUP BY 1)""") + "SELECT node, min(n) AS low, max(n) AS high FROM walk JOIN least USING (node, hops) WHERE node <> 'p1' GROUP BY 1")
-def valve_ranges(spark, sf_dir):
-    nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    starts = spark.createDataFrame([("p1",)], "start string")
-    hops = traverse.closure(flow, starts, "down").where("node <> 'p1'").select("start", "node", "hops").unionByName(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")))
-    return traverse.count_ranges(flow, hops, nodes.where("kind = 'valve'")).select("node", "low", "high")
+def valve_ranges(spark, sf_dir, start="p1"):
+    """How many valves lie on the shortest routes from an item, at least and at most."""
+    valves = P.nodes(spark, sf_dir).where("kind = 'valve'")
+    return traverse.valve_ranges(P.flow(spark, sf_dir), spark.createDataFrame([(start,)], "start string"), valves).select("node", "low", "high")
 
 
-@query("gr21_route_avoiding", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE kind = 'valve' AND unit = 'U04' AND node <> 'p0'),
+@query("gr21_route_avoiding", with_sql("nodes", "flow", recursive="""cut AS (SELECT node FROM nodes WHERE kind = 'valve' AND node <> 'p0'),
 walk(removed, node) AS (SELECT node, 'p0' FROM cut UNION SELECT w.removed, f.dst FROM walk w JOIN flow f ON f.src = w.node WHERE f.dst <> w.removed)""") + "SELECT removed, count(*) - 1 AS n_reached FROM walk GROUP BY 1")
-def route_avoiding(spark, sf_dir):
-    """What the first part still reaches without each valve of a unit: one walk per removed valve, all at once."""
+def route_avoiding(spark, sf_dir, source="p0"):
+    """What an item still reaches without each valve there is."""
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    removed = nodes.where("kind = 'valve' and unit = 'U04' and node <> 'p0'").select(F.col("node").alias("removed"))
-    return traverse.reach_without(flow, removed, "p0").groupBy("removed").agg(F.count("*").alias("n_reached"))
+    asked = nodes.where((F.col("kind") == "valve") & (F.col("node") != source)).select(F.col("node").alias("removed"), F.array().cast("array<string>").alias("targets"))
+    return traverse.routes_without(flow, asked, source).select("removed", "n_reached")
 
 
-@query("q19_first_meeting_points", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node_class IN ('Tank', 'PressureVessel') AND CAST(node[2:] AS BIGINT) BETWEEN 20 AND 95), reach(start, node) AS (SELECT node, node FROM starts UNION SELECT r.start, e.dst FROM reach r JOIN flow e ON e.src = r.node), inner_reach(start, node) AS (SELECT node, node FROM nodes WHERE kind IN ('equipment', 'valve') UNION SELECT r.start, e.dst FROM inner_reach r JOIN flow e ON e.src = r.node)") + """,
-pairs AS (SELECT a.node AS first, b.node AS second FROM starts a JOIN starts b ON a.node < b.node WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = a.node AND r.node = b.node) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = b.node AND r.node = a.node)),
-common AS (SELECT p.first, p.second, r.node FROM pairs p JOIN reach r ON r.start = p.first JOIN reach s ON s.start = p.second AND s.node = r.node WHERE r.node NOT IN (p.first, p.second)),
-size AS (SELECT first, second, count(*) AS n FROM common GROUP BY ALL),
-able AS (SELECT c.first, c.second, c.node FROM common c JOIN common d ON c.first = d.first AND c.second = d.second JOIN inner_reach i ON i.start = c.node AND i.node = d.node JOIN size s ON s.first = c.first AND s.second = c.second GROUP BY c.first, c.second, c.node HAVING count(*) = max(s.n))
+@query("q19_first_meeting_points", with_sql("nodes", "flow", recursive="starts AS (SELECT node FROM nodes WHERE node_class IN ('Tank', 'PressureVessel')), every(start, node) AS (SELECT node, node FROM nodes WHERE node LIKE 'p%' UNION SELECT r.start, e.dst FROM every r JOIN flow e ON e.src = r.node)") + """,
+size AS (SELECT start AS node, count(*) AS n FROM every GROUP BY 1), reach AS (SELECT start, node FROM every WHERE start IN (SELECT node FROM starts) AND start <> node),
+common AS (SELECT a.start AS first, b.start AS second, count(*) AS n FROM reach a JOIN reach b USING (node) WHERE a.start < b.start GROUP BY ALL),
+apart AS (SELECT * FROM common c WHERE NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = c.first AND r.node = c.second) AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = c.second AND r.node = c.first)),
+able AS (SELECT p.first, p.second, s.node FROM apart p JOIN size s ON s.n = p.n JOIN reach a ON a.start = p.first AND a.node = s.node JOIN reach b ON b.start = p.second AND b.node = s.node WHERE s.node IN (SELECT node FROM nodes WHERE kind IN ('equipment', 'valve')))
 SELECT first, second, max(node) AS meeting FROM able GROUP BY ALL HAVING count(*) = 1""")
 def first_meeting_points(spark, sf_dir):
+    """What two items both reach is closed under reach: a member reaches all of it if it reaches as many nodes (SQL)."""
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    starts = nodes.where("node_class in ('Tank', 'PressureVessel') and cast(substring(node, 2, 20) as bigint) between 20 and 95").select(F.col("node").alias("start"))
+    starts = nodes.where("node_class in ('Tank', 'PressureVessel')").select(F.col("node").alias("start"))
     return traverse.meeting_points(flow, starts, nodes.where(F.col("node_class").isin(*LINE_ITEMS)).select("node"))
 
 
@@ -421,15 +423,15 @@ def sheets_of_tag(spark, sf_dir):
 def connected(spark, sf_dir):
     items = P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node", "tag", F.substring("node", 2, 20).cast("long").alias("k"))
     pairs = items.select(F.col("node").alias("start"), F.col("tag").alias("source"), (F.col("k") * 3 + 8).alias("k")).join(items.select("node", F.col("tag").alias("target"), "k"), "k")
-    reached = reach_table(spark, sf_dir).select("start", "node", F.lit(True).alias("r"))
-    return pairs.join(reached, ["start", "node"], "left").select("source", "target", F.coalesce("r", F.lit(False)).alias("answer"))
+    reached = traverse.reached_pairs(P.flow(spark, sf_dir), pairs)
+    return pairs.join(reached, ["start", "node"]).select("source", "target", F.col("reached").alias("answer"))
 
 
 @query("q14_downstream_in_unit", with_sql("nodes", "flow", recursive=ALL_DOWN) + "SELECT s.tag, string_agg(DISTINCT t.tag, ',' ORDER BY t.tag) AS answer FROM reach r JOIN nodes s ON s.node = r.start JOIN nodes t ON t.node = r.node WHERE r.start <> r.node AND t.unit = s.unit AND t.kind = 'equipment' GROUP BY 1")
 def downstream_in_unit(spark, sf_dir):
     items = P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node", "tag", "unit")
-    r = reach_table(spark, sf_dir).where("start <> node").join(items.toDF("start", "tag", "u"), "start").join(items.toDF("node", "t", "unit"), "node").where("u = unit")
-    return r.groupBy("tag").agg(joined("t").alias("answer"))
+    found = traverse.reached_values(P.flow(spark, sf_dir), items.select(F.col("node").alias("start")), items.select("node", F.col("tag").alias("value"), F.col("unit").alias("group")), same=True)
+    return found.where("size(values) > 0").join(items.select(F.col("node").alias("start"), "tag"), "start").select("tag", F.array_join("values", ",").alias("answer"))
 
 
 @query("q15_instruments_of_item", with_sql("nodes", "flow", "edges") + "SELECT m.tag, string_agg(DISTINCT i.tag, ',' ORDER BY i.tag) AS answer FROM edges e JOIN nodes m ON m.node = e.src JOIN nodes i ON i.node = e.dst WHERE e.relation = 'measured_by' AND m.tag IS NOT NULL GROUP BY 1")
@@ -441,10 +443,12 @@ def instruments_of_item(spark, sf_dir):
 
 @query("q16_upstream_sources", with_sql("nodes", "flow", recursive=ALL_UP) + "SELECT s.tag, string_agg(DISTINCT r.node, ',' ORDER BY r.node) AS answer FROM reach r JOIN nodes s ON s.node = r.start WHERE r.node <> r.start AND r.node NOT IN (SELECT dst FROM flow WHERE src <> dst) GROUP BY 1")
 def upstream_sources(spark, sf_dir):
-    flow = P.flow(spark, sf_dir)
+    flow, nodes = P.flow(spark, sf_dir), P.nodes(spark, sf_dir)
     fed = flow.where("src <> dst").select(F.col("dst").alias("node")).distinct()
-    r = reach_table(spark, sf_dir, direction="up").where("start <> node").join(fed, "node", "left_anti").join(P.nodes(spark, sf_dir).select(F.col("node").alias("start"), "tag"), "start")
-    return r.groupBy("tag").agg(joined("node").alias("answer"))
+    first = nodes.select("node").join(fed, "node", "left_anti").select("node", F.col("node").alias("value"))
+    items = nodes.where("kind = 'equipment'").select(F.col("node").alias("start"), "tag")
+    found = traverse.reached_values(flow, items, first, "up")
+    return found.where("n > 0").join(items, "start").select("tag", F.array_join("values", ",").alias("answer"))
 
 
 @query("q18_loops_near_item", with_sql("nodes", "flow", "edges", recursive=FOLD) + """, near AS (SELECT source AS item, target AS valve FROM line UNION SELECT target, source FROM line)
@@ -458,22 +462,23 @@ def loops_near_item(spark, sf_dir):
     return found.groupBy("tag").agg(joined("loop").alias("answer"))
 
 
-@query("q21_valves_on_path", with_sql("nodes", "flow", recursive="""starts AS (SELECT node FROM nodes WHERE node IN ('p0', 'p1', 'p2')),
+@query("q21_valves_on_path", with_sql("nodes", "flow", recursive="""starts AS (SELECT node FROM nodes WHERE kind = 'equipment'),
 walk(start, node, hops, n) AS (SELECT node, node, 0, 0 FROM starts UNION SELECT w.start, f.dst, w.hops + 1, w.n + CASE WHEN w.node <> w.start AND w.node IN (SELECT node FROM nodes WHERE kind = 'valve') THEN 1 ELSE 0 END FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 18),
 least AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY ALL)""") + "SELECT start, node, min(n) AS answer FROM walk JOIN least USING (start, node, hops) JOIN nodes t USING (node) WHERE node <> start AND t.kind = 'equipment' GROUP BY ALL HAVING min(n) = max(n)")
 def valves_on_path(spark, sf_dir):
-    nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    starts = _starts(nodes, "node in ('p0', 'p1', 'p2')")
-    hops = traverse.closure(flow, starts, "down").where("node <> start").select("start", "node", "hops").unionByName(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")))
-    ranges = traverse.count_ranges(flow, hops, nodes.where("kind = 'valve'")).where("low = high")
-    return ranges.join(nodes.where("kind = 'equipment'").select("node"), "node", "left_semi").select("start", "node", F.col("low").alias("answer"))
+    nodes = P.nodes(spark, sf_dir)
+    equipment = nodes.where("kind = 'equipment'").select("node")
+    ranges = traverse.valve_ranges(P.flow(spark, sf_dir), equipment.select(F.col("node").alias("start")), nodes.where("kind = 'valve'")).where("low = high")
+    return ranges.join(equipment, "node", "left_semi").select("start", "node", F.col("low").alias("answer"))
 
 
 @query("q23_units_reached", with_sql("nodes", "flow", recursive=ALL_DOWN) + "SELECT s.tag, count(DISTINCT t.unit) AS answer FROM reach r JOIN nodes s ON s.node = r.start JOIN nodes t ON t.node = r.node WHERE t.unit IS NOT NULL AND t.unit <> s.unit GROUP BY 1")
 def units_reached(spark, sf_dir):
-    units = P.nodes(spark, sf_dir).select("node", "tag", "unit")
-    r = reach_table(spark, sf_dir).join(units.toDF("start", "tag", "u"), "start").join(units.select("node", "unit"), "node").where("unit <> u")
-    return r.groupBy("tag").agg(F.count_distinct("unit").alias("answer"))
+    nodes = P.nodes(spark, sf_dir)
+    items = nodes.where("kind = 'equipment'").select(F.col("node").alias("start"), "tag", "unit")
+    found = traverse.reached_values(P.flow(spark, sf_dir), items, nodes.select("node", F.col("unit").alias("value")))
+    others = found.join(items, "start").select("tag", F.size(F.array_except("values", F.array("unit"))).cast("long").alias("answer"))
+    return others.where("answer > 0")
 
 
 @query("q25_crossings", with_sql("nodes", "flow", "drawings") + """, home AS (SELECT node, min(sheet) AS sheet FROM drawings GROUP BY 1)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.scalars import k_bin, score_sets, to_boolean, to_count
+from ..functions.scalars import digits_key, k_bin, score_sets, to_boolean, to_count
 from ..operators import resolve, runs
 from ..schema import class_dim
 from . import projection as P
@@ -273,11 +273,11 @@ def differences(spark, sf_dir):
     return resolve.differences(changed, nodes, ["node"], ["node_class"])
 
 
-@query("jn13_block_candidates", with_sql("nodes", "drawings") + """, d AS (SELECT key, sheet, node_class, tag || CASE WHEN CAST(sheet AS BIGINT) % 2 = 0 THEN '' ELSE '0' END AS tag FROM drawings JOIN nodes USING (node) WHERE kind = 'equipment' AND unit = 'U05'),
+@query("jn13_block_candidates", with_sql("nodes", "drawings") + """, d AS (SELECT key, sheet, node_class, tag || CASE WHEN CAST(sheet AS BIGINT) % 2 = 0 THEN '' ELSE '0' END AS tag FROM drawings JOIN nodes USING (node) WHERE kind = 'equipment'),
 b AS (SELECT *, regexp_replace(tag, '[^1-9]', '', 'g') AS digits FROM d)
 SELECT x.key AS a, y.key AS b FROM b x JOIN b y USING (node_class, digits) WHERE x.key < y.key AND x.sheet <> y.sheet AND x.tag <> y.tag AND digits <> ''""")
 def block_candidates(spark, sf_dir):
-    d = equipment_drawings(spark, sf_dir).where("unit = 'U05'")
+    d = equipment_drawings(spark, sf_dir)
     d = d.withColumn("tag", F.concat("tag", F.when(F.col("sheet").cast("long") % 2 == 0, "").otherwise("0")))
     return resolve.block_candidates(d).select("a", "b")
 
@@ -334,15 +334,12 @@ def load_batches(spark, sf_dir):
     return P.nodes(spark, sf_dir).select("node", "node_class", F.floor((F.row_number().over(w) - 1) / 100).cast("long").alias("batch"))
 
 
-@query("ag23_blocking_quality", with_sql("nodes", "drawings") + """, d AS (SELECT key, node, regexp_replace(tag, '[^1-9]', '', 'g') AS digits FROM drawings JOIN nodes USING (node) WHERE kind = 'equipment' AND unit = 'U05'),
-c AS (SELECT x.node = y.node AS gold FROM d x JOIN d y USING (digits) WHERE x.key < y.key), g AS (SELECT count(*) AS n FROM d x JOIN d y USING (node) WHERE x.key < y.key), a AS (SELECT count(*) * (count(*) - 1) // 2 AS n FROM d)
-SELECT round(count(*) FILTER (gold) / max(g.n), 6) AS completeness, round(1 - count(*) / max(a.n), 6) AS reduction FROM c, g, a""")
+@query("ag23_blocking_quality", with_sql("nodes", "drawings") + """, d AS (SELECT node, regexp_replace(tag, '[^1-9]', '', 'g') AS digits, count(*) AS c FROM drawings JOIN nodes USING (node) WHERE kind = 'equipment' GROUP BY ALL),
+n AS (SELECT (SELECT sum(c * (c - 1)) FROM d) AS gold_both, (SELECT sum(c * (c - 1)) FROM (SELECT sum(c) AS c FROM d GROUP BY node) x) AS gold, (SELECT sum(c * (c - 1)) FROM (SELECT sum(c) AS c FROM d GROUP BY digits) x) AS inside, (SELECT sum(c) * (sum(c) - 1) FROM d) AS whole)
+SELECT round(gold_both / gold, 6) AS completeness, round(1 - inside / whole, 6) AS reduction FROM n""")
 def blocking_quality(spark, sf_dir):
-    d = equipment_drawings(spark, sf_dir).where("unit = 'U05'").select("key", "node", F.regexp_replace("tag", "[^1-9]", "").alias("digits"))
-    counts = lambda by, n: d.groupBy(*by).agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) / 2")).alias(n))
-    # pairs within a block are counted from its size, never made
-    inside, gold, both = counts(["digits"], "inside"), counts(["node"], "gold"), counts(["digits", "node"], "both")
-    whole = d.agg(F.expr("count(*) * (count(*) - 1) / 2").alias("whole"))
-    one = {**inside.first().asDict(), **gold.first().asDict(), **both.first().asDict(), **whole.first().asDict()}
-    ratio = lambda a, b: round(float(a or 0) / float(b), 6) if b else None
-    return spark.createDataFrame([(ratio(one["both"], one["gold"]), round(1 - float(one["inside"] or 0) / float(one["whole"]), 6) if one["whole"] else None)], "completeness double, reduction double")
+    """Pairs within a block are counted from its size, never made."""
+    d = equipment_drawings(spark, sf_dir).groupBy("node", digits_key("tag").alias("digits")).agg(F.count("*").alias("c"))
+    pairs = lambda by, name: d.groupBy(*by).agg(F.sum("c").alias("c")).agg(F.sum(F.col("c") * (F.col("c") - 1)).alias(name))
+    one = pairs(["digits"], "inside").join(pairs(["node"], "gold")).join(pairs(["node", "digits"], "both")).join(d.agg((F.sum("c") * (F.sum("c") - 1)).alias("whole")))  # one row each
+    return one.select(F.round(F.try_divide("both", "gold"), 6).alias("completeness"), F.round(1 - F.try_divide("inside", "whole"), 6).alias("reduction"))

@@ -183,7 +183,7 @@ SAMPLED, COMMON, HOT_KEY = 16, 500_000, 4_096
 #: Members up to which a bucket's pairs are compared at once; larger ones grow a forest.
 SMALL_RUN = 8
 #: Rows, and shingles of them, that a task verifies together.
-CELL_ROWS, CELL_SHINGLES = 4_096, 20_000_000
+CELL_ROWS, CELL_SHINGLES = 1_024, 20_000_000
 #: Links a task holds before it joins them.
 MOST_LINKS = 1_000_000
 

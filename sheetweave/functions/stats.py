@@ -77,12 +77,8 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], a: str, b: str, resamples:
     return pairs.select(*by, a, b).orderBy(a, b).groupBy(*by).applyInPandas(draw, f"{kinds}, mean_diff double, low double, high double")
 
 
-def poisson_bootstrap(values: DataFrame, by: list[str], c: str, key: str, resamples: int = 200) -> DataFrame:
-    """(by, low, high) of a mean at any size: every row counts a Poisson(1) number of times in each resample.
-
-    The counts come from a hash of the row's key and the resample's number, so reruns agree; rows are summed where
-    they lie, and `resamples` sums per group are all that moves.
-    """
+def resample_means(values: DataFrame, by: list[str], c: str, key: str, resamples: int) -> DataFrame:
+    """(by, _s, _m): the mean of each resample, in which every row counts a Poisson(1) number of times."""
     # cumulative chances of a Poisson(1) count
     steps, total, p = [], 0.0, 0.36787944117144233
     for i in range(1, 9):
@@ -92,10 +88,30 @@ def poisson_bootstrap(values: DataFrame, by: list[str], c: str, key: str, resamp
     unit = (F.shiftrightunsigned(F.xxhash64(F.col(key), "_s"), 11).cast("double")) / F.lit(float(1 << 53))
     times = sum(((unit >= s).cast("int") for s in steps), F.lit(0))
     drawn = values.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("_t", times)
-    means = drawn.groupBy(*by, "_s").agg((F.sum(F.col(c).cast("double") * F.col("_t")) / F.sum("_t")).alias("_m"))
+    return drawn.groupBy(*by, "_s").agg((F.sum(F.col(c).cast("double") * F.col("_t")) / F.sum("_t")).alias("_m"))
+
+
+def poisson_bootstrap(values: DataFrame, by: list[str], c: str, key: str, resamples: int = 200) -> DataFrame:
+    """(by, low, high) of a mean at any size: every row counts a Poisson(1) number of times in each resample.
+
+    The counts come from a hash of the row's key and the resample's number, so reruns agree; rows are summed where
+    they lie, and `resamples` sums per group are all that moves.
+    """
+    means = resample_means(values, by, c, key, resamples)
     return means.groupBy(*by).agg(linear_rank("_m", 0.025).alias("low"), linear_rank("_m", 0.975).alias("high"))
 
 
+def unpaired_bootstrap(values: DataFrame, by: str, first: str, second: str, c: str, key: str, resamples: int = 200) -> DataFrame:
+    """(mean_diff, low, high) of the difference of two groups' means, each resampled for itself as poisson_bootstrap() does."""
+    both = values.where(F.col(by).isin(first, second))
+    drawn = resample_means(both, [by], c, key, resamples)
+    of = lambda g: drawn.where(F.col(by) == g).select("_s", F.col("_m").alias(g.replace(" ", "_")))
+    a, b = first.replace(" ", "_"), second.replace(" ", "_")
+    spread = of(first).join(of(second), "_s").select((F.col(a) - F.col(b)).alias("_d")).agg(linear_rank("_d", 0.025).alias("low"), linear_rank("_d", 0.975).alias("high"))
+    mean = lambda g: F.avg(F.when(F.col(by) == g, F.col(c)))
+    return both.agg((mean(first) - mean(second)).alias("mean_diff")).join(spread)  # one row each
+
+
 def block_bootstrap_f1(blocks: DataFrame, by: list[str], resamples: int = 500, seed: int = 1) -> DataFrame:
     """(by, f1, low, high) from counts per block (tp, fp, fn): whole blocks are drawn, the same ones for all groups."""
 

@@ -51,11 +51,41 @@ def compatible(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
 
 def pending(strategies: DataFrame, questions: DataFrame, repeats: int, done: DataFrame) -> DataFrame:
     """(strategy, question, repeat) still to be answered: every combination less the rows there are."""
-    work = questions.withColumn("strategy", F.explode(F.lit([r["strategy"] for r in strategies.select("strategy").distinct().limit(1000).collect()])))
+    known = strategies.select("strategy").distinct()
+    work = questions.join(known)  # what is asked for: every question of every strategy
     work = work.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     return work.join(done.select("strategy", "question", "repeat").distinct(), ["strategy", "question", "repeat"], "left_anti").select("strategy", "question", "repeat")
 
 
+def signals(rows: DataFrame, runaway_s: float) -> DataFrame:
+    """Rows with what their `trace` (JSON) tells without the gold answer: n_rows and truncated of the retrieval, null where
+    none was recorded, whether the answer ran away, and the cost with that of abandoned calls."""
+    trace = lambda path: F.get_json_object("trace", path)
+    lost = F.coalesce(trace("$.abandoned_usd").cast("double"), F.lit(0.0))
+    return rows.withColumns({"n_rows": trace("$.retrieval.n_rows").cast("int"), "truncated": trace("$.retrieval.truncated").cast("boolean"), "runaway": F.col("latency") > runaway_s, "cost": F.col("cost") + lost})
+
+
+def self_checks(rows: DataFrame, key: list[str], by: list[str], spread: float) -> DataFrame:
+    """(check_name, violations) of what must hold in a run's rows."""
+    none = F.col("cost").isNull()
+    row = rows.agg(F.count_if(F.col("latency") < 0).alias("a"), F.count_if(F.col("correct") & (F.col("outcome") != "ANSWERED")).alias("b"), F.count_if((F.col("outcome") == "ANSWERED") & none).alias("c"))
+    named = (("M1 negative latency", "a"), ("M2 right but not answered", "b"), ("M3 answered without cost", "c"))
+    out = row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check_name"), F.col(c).alias("violations")) for n, c in named))).alias("x")).select("x.*")
+    wide = rows.groupBy(*by).agg(F.max("latency").alias("m"), F.median("latency").alias("d")).where(F.col("m") > spread * F.col("d"))
+    again = rows.groupBy(*key).count().where("count > 1")
+    one = lambda name, found: found.agg(F.lit(name).alias("check_name"), F.count("*").alias("violations"))
+    return out.unionByName(one(f"M4 spread over {spread}", wide)).unionByName(one("M5 repeated row", again))
+
+
+def random_escalation(questions: DataFrame, key: str, kept: str, sent: str, n: int, n_draws: int) -> DataFrame:
+    """(n_draws, mean, low, high) of the sum over questions if n of them, drawn by arithmetic of `key` and the draw, gave
+    `sent` and the others `kept`. A draw is one window of its own."""
+    draws = questions.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"))))
+    place = F.row_number().over(Window.partitionBy("draw").orderBy((F.col(key) * 7919 + F.col("draw") * 104729) % 1000003, key))
+    sums = draws.withColumn("r", place).groupBy("draw").agg(F.sum(F.when(F.col("r") <= n, F.col(sent)).otherwise(F.col(kept))).alias("s"))
+    return sums.agg(F.count("*").alias("n_draws"), F.avg("s").alias("mean"), linear_rank("s", 0.025).alias("low"), linear_rank("s", 0.975).alias("high"))
+
+
 def grouping_sets(rows: DataFrame, base: list[str], dimensions: dict[str, Column]) -> DataFrame:
     """(base, dimension, grp, n, accuracy, cost, latency_p90): every measure overall and by each dimension, null groups left out."""
     entries = F.array(F.struct(F.lit("overall").alias("dimension"), F.lit("all").alias("grp")), *(F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("grp")) for n, c in dimensions.items()))

@@ -1,6 +1,6 @@
 """Queries over the driver tables; importing this package registers all of them."""
 
-from . import more_queries, plant_queries, run_queries, split_queries  # noqa: F401
+from . import answer_queries, more_queries, plant_queries, run_queries, split_queries  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -159,12 +159,12 @@ def merge(spark, sf_dir):
     return resolve.merge_edges(inner, none, contracted.where(F.size("via") > 0))
 
 
-@query("gr9_edge_dedupe", with_sql("flow", "drawings", recursive=CUT) + "SELECT count(*) AS n, sum(CASE WHEN ss <> ds THEN 1 ELSE 0 END) AS crossing FROM placed")
+@query("gr9_edge_dedupe", with_sql("flow", "drawings", recursive=CUT) + "SELECT src, dst, 'send_to' AS relation, CASE WHEN ss <> ds THEN out_stub || '|' || in_stub ELSE '' END AS via FROM placed LEFT JOIN cut USING (src, dst, ss, ds)")
 def edge_dedupe(spark, sf_dir):
+    """Every edge twice on its sheet: one of each stays, over the fewest stubs."""
     on_sheets, _, pairs = split_flow(spark, sf_dir)
     twice = on_sheets.select("src", "dst", "relation")
-    found = resolve.contract(twice.unionByName(twice), pairs)
-    return found.agg(F.count("*").alias("n"), F.count_if(F.size("via") > 0).alias("crossing"))
+    return resolve.contract(twice.unionByName(twice), pairs).select("src", "dst", "relation", F.array_join("via", "|").alias("via"))
 
 
 @query("ag1_resolution_report", with_sql("nodes", "flow", "drawings", recursive=CUT + ", " + TAGGED) + """SELECT 'pairs' AS what, count(*) AS n FROM cut UNION ALL SELECT 'groups', count(*) FROM (SELECT tag FROM tagged GROUP BY tag, node_class HAVING count(DISTINCT sheet) >= 2) x""")
@@ -174,19 +174,36 @@ def resolution_report(spark, sf_dir):
     return pairs.agg(F.lit("pairs").alias("what"), F.count("*").alias("n")).unionByName(groups.agg(F.lit("groups").alias("what"), F.count("*").alias("n")))
 
 
-@query("ag24_resolution_score", with_sql("nodes", "drawings", recursive=TAGGED) + "SELECT sum(n * (n - 1) // 2) AS links, count(*) AS groups FROM (SELECT count(*) AS n FROM tagged GROUP BY tag, node_class HAVING count(DISTINCT sheet) >= 2) x")
+@query("ag24_resolution_score", with_sql("nodes", "drawings", recursive=TAGGED) + """, t AS (SELECT d.node, d.sheet, n.node_class, n.tag || CASE WHEN CAST(d.sheet AS BIGINT) % 5 = 0 THEN 'X' ELSE '' END AS tag FROM drawings d JOIN nodes n USING (node) WHERE n.kind = 'equipment'),
+s AS (SELECT tag, count(*) AS n FROM t GROUP BY tag, node_class HAVING count(DISTINCT sheet) >= 2), g AS (SELECT count(*) AS n FROM t GROUP BY node), c AS (SELECT (SELECT sum(n * (n - 1) // 2) FROM s) AS said, (SELECT sum(n * (n - 1) // 2) FROM g) AS gold)
+SELECT CAST(said AS BIGINT) AS links, CAST(gold AS BIGINT) AS gold_links, 1.0 AS precision, round(said / gold, 6) AS recall, round(2.0 * said / (said + gold), 6) AS f1 FROM c""")
 def resolution_score(spark, sf_dir):
-    """Links within groups are counted from their sizes."""
-    g = resolve.group_identities(equipment_drawings(spark, sf_dir)).withColumn("n", F.size("references").cast("long") + 1)
-    return g.agg(F.sum(F.expr("n * (n - 1) div 2")).alias("links"), F.count("*").alias("groups"))
-
-
-@query("ag25_edge_fidelity", with_sql("nodes", "flow") + "SELECT count(*) FILTER (NOT gone) AS found, count(*) AS expected, round(count(*) FILTER (NOT gone) / count(*), 6) AS recall FROM (SELECT CAST(src[2:] AS BIGINT) % 11 = 0 AS gone FROM flow) x")
+    """Links between drawings of one item by groups of exact tags, some tags varied, against those by item. Links are
+    counted from sizes; those said and true are within (group, item)."""
+    d = equipment_drawings(spark, sf_dir).withColumn("tag", F.concat("tag", F.when(F.col("sheet").cast("long") % 5 == 0, "X").otherwise("")))
+    groups = resolve.group_identities(d)
+    members = groups.select("home", F.explode(F.concat(F.array("home"), "references")).alias("key")).join(d.select("key", "node"), "key")
+    links = lambda rows, by, name: rows.groupBy(*by).agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1) div 2")).alias(name))
+    one = links(members, ["home"], "said").join(links(members, ["home", "node"], "tp")).join(links(d, ["node"], "gold"))  # one row each
+    p, r, f1 = resolve.prf(F.col("tp"), F.col("said") - F.col("tp"), F.col("gold") - F.col("tp"))
+    return one.select(F.col("said").alias("links"), F.col("gold").alias("gold_links"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f1, 6).alias("f1"))
+
+
+@query("ag25_edge_fidelity", with_sql("nodes", "flow", "drawings", recursive=CUT) + """, f AS (SELECT min(sheet) AS first FROM drawings), x AS (SELECT p.*, first FROM placed p, f WHERE ss <> ds OR ss <> first),
+found AS (SELECT * FROM x WHERE ss <> first AND ds <> first) SELECT (SELECT count(*) FROM found) AS found, (SELECT count(*) FROM placed) AS expected, 1.0 AS precision, round((SELECT count(*) FROM found) / (SELECT count(*) FROM placed), 6) AS recall""")
 def edge_fidelity(spark, sf_dir):
-    flow = P.flow(spark, sf_dir)
-    found = flow.where(F.substring("src", 2, 20).cast("long") % 11 != 0)
-    hit = flow.join(found.withColumn("hit", F.lit(1)), ["src", "dst"], "left")
-    return hit.agg(F.count("hit").alias("found"), F.count("*").alias("expected"), F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    """Edges by their ends, joined again from all sheets but the first, against the plant's."""
+    on_sheets, stubs, pairs = split_flow(spark, sf_dir)
+    first = on_sheets.agg(F.min("sheet").alias("sheet"))
+    lost = stubs.join(first, "sheet", "left_semi").select("key")
+    kept = pairs.join(lost.toDF("from_key"), "from_key", "left_anti").join(lost.toDF("to_key"), "to_key", "left_anti")
+    again = resolve.contract(on_sheets.join(first, "sheet", "left_anti").select("src", "dst", "relation"), kept).select("src", "dst")
+    real = P.nodes(spark, sf_dir).select("node")
+    again = again.join(real.toDF("src"), "src", "left_semi").join(real.toDF("dst"), "dst", "left_semi").distinct()
+    home = homes(spark, sf_dir)
+    gold = P.flow(spark, sf_dir).join(home.select(F.col("node").alias("src")), "src", "left_semi").join(home.select(F.col("node").alias("dst")), "dst", "left_semi")
+    n = again.withColumn("a", F.lit(1)).join(gold.withColumn("g", F.lit(1)), ["src", "dst"], "full").agg(F.count(F.when(F.col("a") + F.col("g") == 2, 1)).alias("tp"), F.count("a").alias("found"), F.count("g").alias("expected"))
+    return n.select("found", "expected", F.round(F.try_divide("tp", "found"), 6).alias("precision"), F.round(F.try_divide("tp", "expected"), 6).alias("recall"))
 
 
 @query("ag28_store_invariants", with_sql("nodes", "flow", "edges", "drawings") + """SELECT 'drawing without item' AS invariant, count(*) AS violations FROM drawings WHERE node NOT IN (SELECT node FROM nodes)

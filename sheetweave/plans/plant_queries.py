@@ -115,13 +115,18 @@ def contract_violations(spark, sf_dir):
     return filters.contract_violations(P.drawings(spark, sf_dir))
 
 
-@query("flt10_writing_clause", "SELECT item_id, CAST(NULL AS VARCHAR) AS clause FROM benchmark WHERE false")
+# Query texts, and the writing clause that the guard finds in each.
+TEXTS = (
+    ("SELECT * FROM items WHERE tag = 'DROP TABLE x'", None), ("select 1 -- delete from items", None), ("DELETE FROM items", "DELETE"), ("WITH a AS (SELECT 1) INSERT INTO b SELECT * FROM a", "INSERT"),
+    ("SELECT `update` FROM items /* merge */", None), ("create table t (a int)", "CREATE"), ('SELECT "set" FROM items', None), ("MATCH (n) SET n.x = 1", "SET"),
+)
+
+
+@query("flt10_writing_clause", "SELECT item_id, CASE item_id % 8 WHEN 2 THEN 'DELETE' WHEN 3 THEN 'INSERT' WHEN 5 THEN 'CREATE' WHEN 7 THEN 'SET' END AS clause FROM benchmark")
 def writing_clause(spark, sf_dir):
-    """No text of the benchmark writes: the guard runs as a regular expression over all of them."""
-    words = "|".join(filters.WRITING)
-    bare = F.regexp_replace("text", r"'[^']*'|--[^\n]*", " ")
-    clause = F.regexp_extract(bare, rf"(?i)(?:^|;)\s*({words})\b\s+(TABLE|INTO|FROM|VIEW)\b", 1)
-    return P.read(spark, sf_dir, "benchmark").select("item_id", F.nullif(clause, F.lit("")).alias("clause")).where("clause is not null")
+    """What the guard says of eight query texts, one for each item of the benchmark."""
+    known = spark.createDataFrame([(i, filters.writing_clause(text)) for i, (text, _) in enumerate(TEXTS)], "i long, clause string")
+    return P.read(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % len(TEXTS)).alias("i")).join(F.broadcast(known), "i").select("item_id", "clause")
 
 
 @query("flt13_canonical_lines", """SELECT '{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
@@ -504,22 +509,37 @@ def availability(spark, sf_dir):
     return cells.join(counted, ["family", "k_bin"], "left").select("family", "k_bin", n.alias("n"), (n >= 97).alias("powered"))
 
 
-@query("api1_find", with_sql("nodes") + "SELECT node, tag FROM nodes WHERE node_class = 'Tank' ORDER BY coalesce(tag, ''), node LIMIT 50")
-def find(spark, sf_dir):
-    return P.nodes(spark, sf_dir).where(filters.item_filter(node_class="tank")).orderBy(F.coalesce("tag", F.lit("")), "node").select("node", "tag").limit(50)
+def plant_api(spark, sf_dir):
+    """The query surface over the driver's plant; an item is on the sheets it is drawn on."""
+    from ..api import PlantApi
+
+    sheets = P.drawings(spark, sf_dir).groupBy("node").agg(F.array_sort(F.collect_set("sheet")).alias("sheets"))
+    none = F.array().cast("array<string>")
+    items = P.nodes(spark, sf_dir).join(F.broadcast(class_dim(spark).select("node_class", "labels")), "node_class").join(sheets, "node", "left")
+    return PlantApi(items.select(F.col("node").alias("item"), "tag", "node_class", "labels", "unit", F.coalesce("sheets", none).alias("sheets"), "kind"), P.edges(spark, sf_dir))
+
+
+@query("api1_find", with_sql("nodes") + "SELECT node, tag, (SELECT count(*) FROM nodes WHERE node_class = 'Tank') AS total FROM nodes WHERE node_class = 'Tank' ORDER BY coalesce(tag, ''), node LIMIT 50")
+def find(spark, sf_dir, node_class="tank"):
+    """The first items of a class as the query surface lists them, and how many there are."""
+    _, listed, total = plant_api(spark, sf_dir).find(node_class=node_class)
+    return spark.createDataFrame([(r["item"], r["tag"], total) for r in listed], "node string, tag string, total long")
 
 
-@query("api6_aggregate_by_sheet", with_sql("nodes", "drawings") + """SELECT sheet AS grp, count(*) AS n, array_to_string(list_slice(list(tag ORDER BY tag, node), 1, 5), ',') AS first_tags
-FROM nodes JOIN drawings USING (node) WHERE tag IS NOT NULL GROUP BY 1""")
+@query("api6_aggregate_by_sheet", with_sql("nodes", "drawings") + """SELECT sheet AS grp, count(*) AS n, array_to_string(list_slice(list(coalesce(tag, '') ORDER BY coalesce(tag, ''), node), 1, 5), ',') AS first_tags
+FROM nodes JOIN drawings USING (node) WHERE kind = 'equipment' GROUP BY 1 ORDER BY n DESC, grp LIMIT 50""")
 def aggregate_by_sheet(spark, sf_dir):
-    drawn = P.nodes(spark, sf_dir).where("tag is not null").join(P.drawings(spark, sf_dir), "node")
-    first = F.slice(F.array_sort(F.collect_list(F.struct("tag", "node"))), 1, 5)
-    return drawn.groupBy(F.col("sheet").alias("grp")).agg(F.count("*").alias("n"), F.array_join(F.transform(first, lambda x: x["tag"]), ",").alias("first_tags"))
+    """The sheets with most equipment, as the query surface groups them."""
+    api = plant_api(spark, sf_dir)
+    found, _, _ = api.find(label="Equipment")
+    return spark.createDataFrame([(r["grp"], r["n"], ",".join(r["first_tags"])) for r in api.aggregate(found, "sheet")], "grp string, n long, first_tags string")
 
 
-@query("api6_aggregate_by_unit", with_sql("nodes") + "SELECT coalesce(unit, '(no unit)') AS grp, count(*) AS n FROM nodes GROUP BY 1")
+@query("api6_aggregate_by_unit", with_sql("nodes") + "SELECT coalesce(unit, '(no unit)') AS grp, count(*) AS n FROM nodes WHERE kind = 'equipment' GROUP BY 1")
 def aggregate_by_unit(spark, sf_dir):
-    return P.nodes(spark, sf_dir).groupBy(F.coalesce("unit", F.lit("(no unit)")).alias("grp")).agg(F.count("*").alias("n"))
+    api = plant_api(spark, sf_dir)
+    found, _, _ = api.find(label="Equipment")
+    return spark.createDataFrame([(r["grp"], r["n"]) for r in api.aggregate(found, "unit")], "grp string, n long")
 
 
 @query("api15_path_counts", with_sql("nodes", "flow", recursive="walk(node, hops, n) AS (SELECT 'p1', 0, 1::HUGEINT UNION ALL SELECT dst, hops, sum(n) FROM (SELECT f.dst, w.hops + 1 AS hops, w.n FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 6) x GROUP BY dst, hops)") + "SELECT node, hops, CAST(sum(n) AS BIGINT) AS n_paths FROM walk WHERE hops > 0 GROUP BY ALL")

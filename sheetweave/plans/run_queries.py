@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.scalars import digits_key, k_bin, score_sets, to_boolean, to_count
-from ..operators import resolve, runs
+from ..operators import resolve, runs, split
 from ..schema import class_dim
+from ..sources import sinks
 from . import projection as P
 from .catalog import query
 from .projection import with_sql
@@ -173,9 +174,10 @@ def set_scores(spark, sf_dir):
     return d.select("doc_id", r6(s["precision"], "p"), r6(s["recall"], "r"), r6(s["f1"], "f1"), s["exact"].alias("exact"))
 
 
-@query("sc2_parse_values", "SELECT event_id, CASE WHEN event_type IN ('click') THEN NULL ELSE NULL END AS as_boolean, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS as_count FROM events")
+@query("sc2_parse_values", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS as_boolean, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS as_count FROM events")
 def parse_values(spark, sf_dir):
-    return P.read(spark, sf_dir, "events").select("event_id", to_boolean("event_type").alias("as_boolean"), to_count(F.get_json_object("props", "$.k")).alias("as_count"))
+    said = F.element_at(F.array(*map(F.lit, (" Yes", "NO", "1", "false ", "perhaps"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return P.read(spark, sf_dir, "events").select("event_id", to_boolean(said).alias("as_boolean"), to_count(F.get_json_object("props", "$.k")).alias("as_count"))
 
 
 # --- resolution
@@ -235,16 +237,14 @@ def connector_pairing(spark, sf_dir):
     return resolve.pair_connectors(stub_labels(spark, sf_dir), homes(spark, sf_dir))[0]
 
 
-@query("jn3_unresolved_connectors", with_sql("flow", "drawings", recursive=CUT) + """SELECT key, 'referenced drawing not in corpus' AS reason FROM (
-  SELECT out_stub AS key, ds AS ref FROM cut UNION ALL SELECT in_stub, ss FROM cut) x WHERE ref = (SELECT min(sheet) FROM drawings)
-UNION ALL SELECT key, 'ambiguous: ' || CASE WHEN key LIKE '%out%' THEN '1 outgoing, 0' ELSE '0 outgoing, 1' END || ' incoming share this label' FROM (SELECT out_stub AS key FROM cut WHERE false) y""")
+@query("jn3_unresolved_connectors", with_sql("flow", "drawings", recursive=CUT) + """, f AS (SELECT min(sheet) AS first FROM drawings), l AS (SELECT out_stub AS key, ds AS ref FROM cut UNION ALL SELECT in_stub, ss FROM cut)
+SELECT key, 'referenced drawing not in corpus' AS reason FROM l, f WHERE ref = first""")
 def unresolved_connectors(spark, sf_dir):
     """Without the first sheet its neighbours' stubs refer to a drawing that is not there."""
     sheets = homes(spark, sf_dir).select("sheet").distinct()
     first = sheets.agg(F.min("sheet").alias("sheet"))
-    known = sheets.join(first, "sheet", "left_anti")
     labels = stub_labels(spark, sf_dir)
-    return resolve.pair_connectors(labels, known)[1].where("reason = 'referenced drawing not in corpus'")
+    return resolve.pair_connectors(labels, sheets.join(first, "sheet", "left_anti"))[1].where(F.col("reason") == resolve.ABSENT)
 
 
 @query("gr12_sheet_routes", with_sql("flow", "drawings", recursive=CUT) + "SELECT least(ss, ds) AS sheet_a, greatest(ss, ds) AS sheet_b, string_agg(out_stub || '~' || in_stub, ',' ORDER BY out_stub || '~' || in_stub) AS pairs FROM cut GROUP BY ALL")
@@ -310,16 +310,14 @@ def class_coverage(spark, sf_dir):
 
 @query("gr27_hubs", with_sql("nodes", "flow") + """, deg AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM flow UNION ALL SELECT dst FROM flow) x GROUP BY 1), m AS (SELECT avg(degree) + stddev_pop(degree) AS lim FROM deg) SELECT node, degree FROM deg, m WHERE degree > lim""")
 def hubs(spark, sf_dir):
-    flow = P.flow(spark, sf_dir)
-    degree = flow.select(F.col("src").alias("node")).unionByName(flow.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    limit = degree.agg((F.avg("degree") + F.stddev_pop("degree")).alias("m")).first()["m"]
-    return degree.where(F.col("degree") > F.lit(limit if limit is not None else 0.0))
+    return split.hubs(P.flow(spark, sf_dir))
 
 
-@query("gr29_chunk_by_budget", with_sql("nodes") + "SELECT node, unit, (row_number() OVER (PARTITION BY unit ORDER BY CAST(node[2:] AS BIGINT)) - 1) // 4 AS chunk FROM nodes WHERE kind = 'equipment'")
+@query("gr29_chunk_by_budget", with_sql("nodes") + """SELECT node, unit, greatest(sum(CASE WHEN kind = 'equipment' THEN 1 ELSE 0 END) OVER (PARTITION BY unit ORDER BY CAST(node[2:] AS BIGINT)) - 1, 0) // 4 AS chunk FROM nodes WHERE kind IN ('equipment', 'valve')""")
 def chunk_by_budget(spark, sf_dir):
-    w = Window.partitionBy("unit").orderBy(F.substring("node", 2, 20).cast("long"))
-    return P.nodes(spark, sf_dir).where("kind = 'equipment'").select("node", "unit", F.floor((F.row_number().over(w) - 1) / 4).cast("long").alias("chunk"))
+    """Items of a unit in order, four equipment items a chunk; valves ride along."""
+    items = P.nodes(spark, sf_dir).where("kind in ('equipment', 'valve')").select("node", "unit", F.substring("node", 2, 20).cast("long").alias("at"), (F.col("kind") == "equipment").alias("counted"))
+    return split.chunk_by_budget(items, ["unit"], "at", "counted", 4).select("node", "unit", "chunk")
 
 
 @query("snk2_expected_counts", with_sql("nodes") + "SELECT label, count(*) AS n FROM (SELECT CASE kind WHEN 'equipment' THEN 'Equipment' WHEN 'valve' THEN 'PipingComponent' END AS label FROM nodes WHERE kind IN ('equipment', 'valve')) x GROUP BY 1")
@@ -330,8 +328,7 @@ def expected_counts(spark, sf_dir):
 
 @query("snk1_load_batches", with_sql("nodes") + "SELECT node, node_class, (row_number() OVER (PARTITION BY node_class ORDER BY node) - 1) // 100 AS batch FROM nodes")
 def load_batches(spark, sf_dir):
-    w = Window.partitionBy("node_class").orderBy("node")
-    return P.nodes(spark, sf_dir).select("node", "node_class", F.floor((F.row_number().over(w) - 1) / 100).cast("long").alias("batch"))
+    return sinks.load_batches(P.nodes(spark, sf_dir).select("node", "node_class"), ["node_class"], "node", 100)
 
 
 @query("ag23_blocking_quality", with_sql("nodes", "drawings") + """, d AS (SELECT node, regexp_replace(tag, '[^1-9]', '', 'g') AS digits, count(*) AS c FROM drawings JOIN nodes USING (node) WHERE kind = 'equipment' GROUP BY ALL),

@@ -6,9 +6,11 @@ DataFrames; `$rN` names them within the session, and only what is shown is colle
 
 from __future__ import annotations
 
+import threading
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.scalars import fold_tag
@@ -16,8 +18,8 @@ from .lineage import stash
 from .operators import filters, traverse
 from .schema import RELATION_GROUPS
 
-#: Items listed and characters shown of a result.
-MOST_ITEMS, MOST_CHARS = 50, 4_000
+#: Items listed and characters shown of a result, and seconds a query text may run.
+MOST_ITEMS, MOST_CHARS, MOST_SECONDS = 50, 4_000, 60.0
 
 
 @dataclass
@@ -132,24 +134,65 @@ class PlantApi:
         found = traverse.paths(tree, hit.select("start", "node")).first()
         return found["path"][1:]
 
-    def aggregate(self, ref: str | Result, group_by: str) -> list[dict]:
-        """(grp, n, first_tags) by node_class, unit or sheet, largest first; an item on two sheets counts in both."""
+    def aggregate(self, ref: str | Result, group_by: str, limit: int | None = MOST_ITEMS) -> list[dict]:
+        """(grp, n, first_tags) by node_class, unit or sheet, largest first, `limit` groups or all (None); an item on two
+        sheets counts in both. Five tags of a group are kept, whatever its size."""
         groups = {"node_class": F.array("node_class"), "unit": F.array(F.coalesce("unit", F.lit("(no unit)"))), "sheet": F.col("sheets")}
         if group_by not in groups:
             raise ValueError(f"group_by {group_by!r}: expected one of {', '.join(groups)}")
-        rows = self.items.join(self.resolve(ref), "item", "left_semi").withColumn("grp", F.explode(groups[group_by]))
-        first = F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("tag", F.lit("")).alias("tag"), "item"))), 1, 5)
-        table = rows.groupBy("grp").agg(F.count("*").alias("n"), F.transform(first, lambda x: x["tag"]).alias("first_tags"))
-        return [r.asDict() for r in table.orderBy(F.col("n").desc(), "grp").limit(MOST_ITEMS).collect()]
-
-    def sql(self, text: str, cap: int = 1_000) -> tuple[DataFrame, bool]:
-        """A reading query over the views items and edges, its rows up to a cap, and whether there were more."""
+        rows = self.items.join(self.resolve(ref), "item", "left_semi").withColumn("grp", F.explode(groups[group_by])).select("grp", "item", F.coalesce("tag", F.lit("")).alias("tag"))
+        first = rows.withColumn("i", F.row_number().over(Window.partitionBy("grp").orderBy("tag", "item"))).where("i <= 5")
+        tags = first.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "tag"))), lambda x: x["tag"]).alias("first_tags"))
+        table = rows.groupBy("grp").agg(F.count("*").alias("n")).join(tags, "grp").select("grp", "n", "first_tags").orderBy(F.col("n").desc(), "grp")
+        return [r.asDict() for r in (table if limit is None else table.limit(limit)).collect()]
+
+    def show(self, ref: str | Result, most_items: int = MOST_ITEMS, most_chars: int = MOST_CHARS) -> str:
+        """A result as text: how many items, then a line each, nearest first, as many as fit, and how many are not shown.
+        Items at which the walk stopped or the plant ends say so."""
+        result = ref if isinstance(ref, Result) else self.results[ref]
+        total, listed = result.count(), self.listing(result.rows, most_items)
+        marks = {r["item"]: r["mark"] for r in result.marks.join(self.spark.createDataFrame([(r["item"],) for r in listed], "item string"), "item").collect()} if result.marks is not None and listed else {}
+        text = f"{result.handle}: {total} items"
+        for i, r in enumerate(listed):
+            hops = f" hops={r['hops']}" if "hops" in r else ""
+            line = f"\n{r['item']} {r['tag'] or '-'} {r['node_class']} unit={r['unit'] or '-'}{hops}" + (f" [{marks[r['item']]}]" if r["item"] in marks else "")
+            rest = f"\n({total - i} more not shown; narrow with filter or aggregate)"
+            if len(text) + len(line) + len(rest) > most_chars:
+                return text + rest
+            text += line
+        return text + (f"\n({total - len(listed)} more not shown; narrow with filter or aggregate)" if total > len(listed) else "")
+
+    def sql(self, text: str, cap: int = 1_000, seconds: float = MOST_SECONDS) -> tuple[DataFrame, bool]:
+        """A reading query over the views items and edges, its rows up to a cap, and whether there were more. Jobs that run
+        longer than `seconds` are cancelled: a TimeoutError."""
         clause = filters.writing_clause(text)
         if clause:
             raise ValueError(f"only reading queries are allowed; found {clause}")
         self.items.createOrReplaceTempView("items")
         self.edges.createOrReplaceTempView("edges")
-        return filters.capped(self.spark.sql(text), cap)
+        return guarded(self.spark, lambda: filters.capped(self.spark.sql(text), cap), seconds)
+
+
+def guarded(spark: SparkSession, work, seconds: float):
+    """What `work` returns; its jobs are a group of their own, which a timer cancels."""
+    context, group, late = spark.sparkContext, f"sheetweave-{uuid.uuid4().hex}", threading.Event()
+
+    def stop():
+        late.set()
+        context.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    context.setJobGroup(group, "a query under a time limit", interruptOnCancel=True)
+    timer.start()
+    try:
+        return work()
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"the query ran over {seconds} seconds") from error
+        raise
+    finally:
+        timer.cancel()
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 #: Operations by name, for callers that send JSON.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,31 @@ def load_batches(rows: DataFrame, group: list[str], order: str, size: int) -> Da
 
 
 def write_layer(nodes: DataFrame, edges: DataFrame, folder: str, corpus: str) -> dict[str, int]:
-    """Replace a corpus in the store and check by reading that every label and relation is there as often as written.
+    """Replace a corpus in the store, once its new tables, read again, hold every label and relation as often as written.
 
-    Tables are partitioned by corpus and written with dynamic overwrite, so other corpora stay.
+    New tables are written beside the store; the old ones of the corpus give way only after the check, so a failed load
+    leaves the store as it was, and nothing of an old version stays.
     """
     spark = nodes.sparkSession
-    counts = {}
-    for name, table, by in (("nodes", nodes, "node_class"), ("edges", edges, "relation")):
-        path = f"{folder}/{name}"
-        table.withColumn("corpus", F.lit(corpus)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("corpus", by).parquet(path)
-        stored = spark.read.parquet(path).where(F.col("corpus") == corpus)
-        wrong = table.groupBy(by).agg(F.count("*").alias("n")).join(stored.groupBy(by).agg(F.count("*").alias("m")), by, "full").where("not (n <=> m)").limit(1).collect()
-        if wrong:
-            raise ValueError(f"{name} of {wrong[0][by]}: wrote {wrong[0]['n']}, found {wrong[0]['m']}")
-        counts[name] = stored.count()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    counts, moves = {}, []
+    stage = f"{folder}/_loading-{uuid.uuid4().hex}"
+    system = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        for name, table, by in (("nodes", nodes, "node_class"), ("edges", edges, "relation")):
+            table.write.partitionBy(by).parquet(f"{stage}/{name}")
+            stored = spark.read.schema(table.schema).parquet(f"{stage}/{name}")
+            wrong = table.groupBy(by).agg(F.count("*").alias("n")).join(stored.groupBy(by).agg(F.count("*").alias("m")), by, "full").where("not (n <=> m)").limit(1).collect()
+            if wrong:
+                raise ValueError(f"{name} of {wrong[0][by]}: wrote {wrong[0]['n']}, found {wrong[0]['m']}")
+            counts[name] = stored.count()
+            moves.append((f"{stage}/{name}", f"{folder}/{name}/corpus={corpus}"))
+        for new, place in moves:
+            system.delete(hadoop(place), True)
+            system.mkdirs(hadoop(place).getParent())
+            system.rename(hadoop(new), hadoop(place))
+    finally:
+        system.delete(hadoop(stage), True)
     return counts
 
 
@@ -61,9 +74,10 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def markdown(rows: DataFrame, limit: int = 1_000) -> str:
-    """A report of few rows as a table."""
+    """A report of few rows as a table; a last line says if there are more than `limit`."""
     names = rows.columns
     lines = ["| " + " | ".join(names) + " |", "|" + "---|" * len(names)]
-    for row in rows.limit(limit).collect():
+    found = rows.limit(limit + 1).collect()
+    for row in found[:limit]:
         lines.append("| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in row) + " |")
-    return "\n".join(lines)
+    return "\n".join([*lines, *(["", f"(more than {limit} rows)"] if len(found) > limit else [])])

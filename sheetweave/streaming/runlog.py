@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,20 +21,43 @@ def read_log(spark: SparkSession, folder: str, schema: str = ANSWER) -> DataFram
 def append_once(rows: DataFrame, folder: str, checkpoint: str, key: list[str] = ROW_KEY) -> StreamingQuery:
     """Write each key's first usable row to Parquet; provider errors are left out, to be answered again.
 
-    A batch goes to a folder of its own number, so a batch that is run again replaces itself.
+    Keys already written are the query's own state, so no batch reads what is there; a batch goes to a folder of its own
+    number, so a batch that is run again replaces itself.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.where("outcome <> 'PROVIDER_ERROR'").dropDuplicates(key)
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(path):
-            old = spark.read.parquet(folder).where(F.col("batch") != number).select(*key)
-            fresh = fresh.join(old, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    fresh = rows.where("outcome <> 'PROVIDER_ERROR'").dropDuplicates(key)
+    return fresh.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class SpendCap:
+    """A cap on spending that calls reserve from before they are made: what is spent and reserved never passes it."""
+
+    def __init__(self, cap: float):
+        self.cap, self.spent, self.reserved, self._lock = cap, 0.0, 0.0, threading.Lock()
+
+    def reserve(self, estimate: float) -> bool:
+        """Whether a call of this cost may go out; if so it is set aside."""
+        with self._lock:
+            if self.spent + self.reserved + estimate > self.cap + 1e-12:
+                return False
+            self.reserved += estimate
+            return True
+
+    def settle(self, estimate: float, actual: float) -> None:
+        """A call has ended: what was set aside for it is free, what it cost is spent."""
+        with self._lock:
+            self.reserved, self.spent = self.reserved - estimate, self.spent + actual
+
+
+def progress(query: StreamingQuery) -> dict:
+    """How far a job is: batches done, rows read, rows kept in state, whether it goes on, and what stopped it."""
+    last = query.lastProgress
+    rows = sum(p.numInputRows for p in query.recentProgress)
+    state = sum(o.numRowsTotal for o in last.stateOperators) if last else 0
+    return {"batch": last.batchId if last else None, "rows": rows, "state": state, "active": query.isActive, "error": str(query.exception()) if query.exception() else None}
 
 
 def running_spend(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -50,8 +74,8 @@ def gap_free(rows: DataFrame, by: str, position: str, value: str) -> DataFrame:
     def commit(key, batches, state):
         upto, waiting = state.get if state.exists else (0, "{}")
         held = {int(k): v for k, v in json.loads(waiting).items()}
-        for batch in batches:
-            held.update(zip(batch[position].tolist(), batch[value].tolist(), strict=True))
+        for batch in batches:  # a position that was handed on already is a repeat
+            held.update((p, v) for p, v in zip(batch[position].tolist(), batch[value].tolist(), strict=True) if p >= upto)
         ready = []
         while upto in held:
             ready.append((key[0], upto, held.pop(upto)))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import random
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,12 +65,12 @@ def paired_bootstrap(pairs: DataFrame, by: list[str], a: str, b: str, resamples:
     """
 
     def draw(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = random.Random(seed)
-        diffs = (rows[a].astype(float) - rows[b].astype(float)).tolist()
-        n = len(diffs)
-        means = [sum(rng.choices(diffs, k=n)) / n for _ in range(resamples)]
-        low, high = _interval(means)
-        return pd.DataFrame([[*key, sum(diffs) / n, low, high]], columns=[*by, "mean_diff", "low", "high"])
+        rng = np.random.default_rng(seed)
+        diffs = (rows[a].astype(float) - rows[b].astype(float)).to_numpy()
+        step = max(1, 4_000_000 // max(1, len(diffs)))  # resamples at a time
+        means = [diffs[rng.integers(0, len(diffs), (min(step, resamples - i), len(diffs)))].mean(1) for i in range(0, resamples, step)]
+        low, high = _interval(np.concatenate(means).tolist())
+        return pd.DataFrame([[*key, diffs.mean(), low, high]], columns=[*by, "mean_diff", "low", "high"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in pairs.dtypes if c in by)
     return pairs.select(*by, a, b).orderBy(a, b).groupBy(*by).applyInPandas(draw, f"{kinds}, mean_diff double, low double, high double")
@@ -116,15 +115,15 @@ def block_bootstrap_f1(blocks: DataFrame, by: list[str], resamples: int = 500, s
     """(by, f1, low, high) from counts per block (tp, fp, fn): whole blocks are drawn, the same ones for all groups."""
 
     def draw(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rng = random.Random(seed)
+        rng = np.random.default_rng(seed)
         counts = rows.sort_values("block")[["tp", "fp", "fn"]].to_numpy(float)
 
         def f1(x):
-            tp, fp, fn = x.sum(0)
-            return 2 * tp / (2 * tp + fp + fn) if 2 * tp + fp + fn else 0.0
+            tp, fp, fn = x.T
+            return np.where(2 * tp + fp + fn > 0, 2 * tp / np.maximum(2 * tp + fp + fn, 1), 0.0)
 
-        draws = [f1(counts[[rng.randrange(len(counts)) for _ in range(len(counts))]]) for _ in range(resamples)]
-        return pd.DataFrame([[*key, f1(counts), *_interval(draws)]], columns=[*by, "f1", "low", "high"])
+        draws = f1(counts[rng.integers(0, len(counts), (resamples, len(counts)))].sum(1))
+        return pd.DataFrame([[*key, float(f1(counts.sum(0))), *_interval(draws.tolist())]], columns=[*by, "f1", "low", "high"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in blocks.dtypes if c in by)
     return blocks.groupBy(*by).applyInPandas(draw, f"{kinds}, f1 double, low double, high double")

@@ -176,17 +176,21 @@ def one_to_one(links: DataFrame) -> DataFrame:
     """Links (a, b, sheet_a, sheet_b, score) chosen greedily by falling score, then keys: a drawing links to one
     drawing of each other sheet at most.
 
-    In each round the links that come first in both their slots are chosen and what conflicts with them goes; this
-    is the greedy choice for a strict order, in as many rounds as the longest chain of conflicts.
+    A link takes two slots: each of its drawings with the other's sheet, whichever end of the link the drawing is. In each
+    round the links that come first in both their slots are chosen and what conflicts with them goes; this is the greedy
+    choice for a strict order, in as many rounds as the longest chain of conflicts.
     """
-    left = stash(links, "links")
+    left = stash(links.select("a", "b", "sheet_a", "sheet_b", "score"), "links")
+    slots = F.explode(F.array(F.struct(F.col("a").alias("own"), F.col("sheet_b").alias("other")), F.struct(F.col("b").alias("own"), F.col("sheet_a").alias("other"))))
     chosen = None
     while True:
-        order = [F.col("score").desc(), "a", "b"]
-        first = left.withColumn("ra", F.row_number().over(Window.partitionBy("a", "sheet_b").orderBy(*order))).withColumn("rb", F.row_number().over(Window.partitionBy("b", "sheet_a").orderBy(*order)))
-        now = stash(first.where("ra = 1 and rb = 1").drop("ra", "rb"), "chosen")
+        taken = left.select("a", "b", "score", slots.alias("slot")).select("a", "b", "score", "slot.own", "slot.other")
+        first = taken.withColumn("r", F.row_number().over(Window.partitionBy("own", "other").orderBy(F.col("score").desc(), "a", "b"))).where("r = 1")
+        both = first.groupBy("a", "b").count().where("count = 2").select("a", "b")
+        now = stash(left.join(both, ["a", "b"], "left_semi"), "chosen")
         chosen = now if chosen is None else chosen.unionByName(now)
-        left = left.join(now.select("a", "sheet_b"), ["a", "sheet_b"], "left_anti").join(now.select("b", "sheet_a"), ["b", "sheet_a"], "left_anti")
+        full = now.select(slots.alias("slot")).select("slot.own", "slot.other")
+        left = left.join(full.toDF("a", "sheet_b"), ["a", "sheet_b"], "left_anti").join(full.toDF("b", "sheet_a"), ["b", "sheet_a"], "left_anti").select(left.columns)
         left = stash(left, "links")
         if left.isEmpty():
             return chosen.select("a", "b", "sheet_a", "sheet_b", "score")

@@ -107,9 +107,19 @@ def best(rows: DataFrame, by: list[str], *order: Column) -> DataFrame:
 
 
 def thresholds(pairs: DataFrame, score: str, gold: str) -> DataFrame:
-    """(threshold, tp, fp, fn, f1) at every observed score over 0, one running sum over the distinct scores."""
+    """(threshold, tp, fp, fn, f1) at every observed score over 0, scores from 0 to 1.
+
+    Sums run from the highest score down: within a thousandth by a window of its own, over the thousandths by one of a
+    thousand rows.
+    """
     at = pairs.where(F.col(score) > 0).groupBy(F.round(score, 12).alias("threshold")).agg(F.count_if(gold).alias("t"), F.count_if(~F.col(gold)).alias("f"))
-    total = pairs.agg(F.count_if(gold).alias("all")).first()["all"]
-    down = Window.orderBy(F.col("threshold").desc())
-    run = at.withColumn("tp", F.sum("t").over(down)).withColumn("fp", F.sum("f").over(down)).withColumn("fn", F.lit(total) - F.col("tp"))
-    return run.select("threshold", "tp", "fp", "fn", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    at = at.withColumn("part", F.floor(F.col("threshold") * 1000).cast("int"))
+    above = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy("part").agg(F.sum("t").alias("pt"), F.sum("f").alias("pf"))
+    parts = parts.select("part", F.coalesce(F.sum("pt").over(above), F.lit(0)).alias("at"), F.coalesce(F.sum("pf").over(above), F.lit(0)).alias("af"))
+    inside = Window.partitionBy("part").orderBy(F.col("threshold").desc())
+    total = pairs.agg(F.count_if(gold).alias("all"))  # one row
+    run = at.withColumn("it", F.sum("t").over(inside)).withColumn("if", F.sum("f").over(inside)).join(parts, "part").join(F.broadcast(total))
+    tp, fp = F.col("it") + F.col("at"), F.col("if") + F.col("af")
+    run = run.select("threshold", tp.alias("tp"), fp.alias("fp"), (F.col("all") - tp).alias("fn"))
+    return run.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))

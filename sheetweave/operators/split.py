@@ -21,8 +21,8 @@ def condensed(edges: DataFrame, owners: DataFrame) -> DataFrame:
 def hubs(edges: DataFrame) -> DataFrame:
     """(node, degree) of nodes with a degree over mean plus population deviation."""
     degree = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
-    limit = degree.agg(F.avg("degree") + F.stddev_pop("degree")).first()[0] or 0.0
-    return degree.where(F.col("degree") > limit)
+    limit = degree.agg((F.avg("degree") + F.stddev_pop("degree")).alias("limit"))  # one row
+    return degree.join(F.broadcast(limit)).where("degree > limit").select("node", "degree")
 
 
 def flow_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,9 +74,25 @@ def by_unit(nodes: DataFrame, equipment: DataFrame, edges: DataFrame, budget: in
     return owners.join(placed, "owner", "left").join(nodes.select("node", "unit"), "node").select("node", F.coalesce("sheet", F.concat_ws("-", "unit", F.lit("0"))).alias("sheet"))
 
 
+def drawn(seed: int, c: str):
+    """A number below 2**32 drawn by the value and a seed, the same on every run and in any engine: the first digits of
+    an MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(c))), 1, 8), 16, 10).cast("long")
+
+
 def at_random(nodes: DataFrame, sheets: int, seed: int) -> DataFrame:
-    """(node, sheet): a sheet by hash of the node, the same on every run."""
-    return nodes.select("node", F.concat(F.lit("S"), F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(sheets)).cast("string")).alias("sheet"))
+    """(node, sheet): a sheet drawn for each node, the same on every run."""
+    return nodes.select("node", F.concat(F.lit("S"), (drawn(seed, "node") % sheets).cast("string")).alias("sheet"))
+
+
+def flow_greedy(nodes: DataFrame, equipment: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """(node, sheet): equipment in the order of flow, `budget` items a sheet; a node follows its nearest equipment."""
+    owners = stash(nearest_owners(edges, nodes, equipment).select("node", "owner"), "greedy-owners")
+    heads = owners.select(F.col("owner").alias("node")).distinct()
+    order = flow_order(condensed(edges, owners), heads).join(equipment.select("node", F.lit(True).alias("counted")), "node", "left")
+    placed = chunk_by_budget(order.withColumn("counted", F.coalesce("counted", F.lit(False))), ["component"], "position", "counted", budget)
+    placed = placed.select(F.col("node").alias("owner"), F.concat_ws("-", "component", F.col("chunk").cast("string")).alias("sheet"))
+    return owners.join(placed, "owner").select("node", "sheet")
 
 
 def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFrame:
@@ -98,7 +114,7 @@ def communities(edges: DataFrame, nodes: DataFrame, rounds: int = 8) -> DataFram
 
 def duplicate_on_neighbours(home: DataFrame, edges: DataFrame, equipment: DataFrame, rate: float, seed: int) -> DataFrame:
     """(node, sheet, role): homes, and for a seeded share of equipment a reference on every sheet it has an edge to."""
-    chosen = equipment.select("node").where(F.pmod(F.xxhash64(F.lit(seed), "node"), F.lit(1_000_000)) < int(rate * 1_000_000))
+    chosen = equipment.select("node").where(drawn(seed, "node") % 1_000_000 < int(rate * 1_000_000))
     along = oriented(edges, "both")
     other = along.join(chosen, along.src == chosen.node, "left_semi").join(home.toDF("dst", "sheet"), "dst").select(F.col("src").alias("node"), "sheet").distinct()
     refs = other.join(home, ["node", "sheet"], "left_anti").withColumn("role", F.lit("reference"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.scalars import digits_key, k_bin, score_sets, to_boolean, to_count
 from ..operators import resolve, runs, split
-from ..schema import class_dim
+from ..schema import class_dim, class_rows
 from ..sources import sinks
 from . import projection as P
 from .catalog import query
@@ -139,7 +139,7 @@ def elasticities(spark, sf_dir):
 @query("st6_paired_bootstrap")
 def paired_bootstrap(spark, sf_dir):
     rows = P.runs(spark, sf_dir).withColumn("a", F.col("correct").cast("int")).withColumn("b", (F.col("latency") < 50).cast("int"))
-    return stats.paired_bootstrap(rows.select("strategy", "a", "b"), ["strategy"], "a", "b", 200)
+    return stats.paired_bootstrap(rows.select("strategy", "a", "b"), ["strategy"], "a", "b")
 
 
 @query("st7_poisson_bootstrap")
@@ -302,7 +302,10 @@ def sheet_statistics(spark, sf_dir):
     return P.drawings(spark, sf_dir).join(P.nodes(spark, sf_dir).select("node", "kind"), "node").groupBy("sheet").pivot("kind", ["equipment", "valve", "inline"]).count().na.fill(0)
 
 
-@query("ag8_class_coverage", None)
+DRAWN = ", ".join(f"('{name}')" for name, _, _, _, _, leaf, _ in class_rows() if leaf)
+
+
+@query("ag8_class_coverage", with_sql("nodes") + f"SELECT c.name AS node_class, count(n.node) AS n FROM (VALUES {DRAWN}) c(name) LEFT JOIN nodes n ON n.node_class = c.name GROUP BY 1")
 def class_coverage(spark, sf_dir):
     counts = P.nodes(spark, sf_dir).groupBy("node_class").agg(F.count("*").alias("n"))
     return class_dim(spark).where("leaf").join(counts, "node_class", "left").select("node_class", F.coalesce("n", F.lit(0)).alias("n")).orderBy("n", "node_class")

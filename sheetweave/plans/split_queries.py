@@ -33,7 +33,7 @@ def communities(spark, sf_dir):
     return split.communities(P.flow(spark, sf_dir), P.nodes(spark, sf_dir).where("kind in ('equipment', 'valve', 'inline')"), 4)
 
 
-@query("gr30_random_partition")
+@query("gr30_random_partition", with_sql("nodes") + "SELECT node, 'S' || (CAST('0x' || md5('3:' || node)[1:8] AS BIGINT) % 12) AS sheet FROM nodes")
 def random_partition(spark, sf_dir):
     return split.at_random(P.nodes(spark, sf_dir), 12, 3)
 
@@ -44,7 +44,14 @@ def by_unit(spark, sf_dir):
     return split.by_unit(nodes, nodes.where("kind = 'equipment'"), P.flow(spark, sf_dir), 4)
 
 
-@query("gr31_duplicates", None)
+@query("gr30_flow_greedy")
+def flow_greedy(spark, sf_dir, budget=4):
+    nodes = P.nodes(spark, sf_dir).where("kind in ('equipment', 'valve', 'inline')")
+    return split.flow_greedy(nodes, nodes.where("kind = 'equipment'"), P.flow(spark, sf_dir), budget)
+
+
+@query("gr31_duplicates", with_sql("nodes", "flow", "drawings") + """, home AS (SELECT node, min(sheet) AS sheet FROM drawings GROUP BY 1), c AS (SELECT node FROM nodes WHERE kind = 'equipment' AND CAST('0x' || md5('5:' || node)[1:8] AS BIGINT) % 1000000 < 300000), t AS (SELECT src, dst FROM flow UNION SELECT dst, src FROM flow)
+SELECT node, sheet, 'home' AS role FROM home UNION ALL SELECT * FROM (SELECT DISTINCT t.src, h.sheet, 'reference' FROM t JOIN home h ON h.node = t.dst WHERE t.src IN (SELECT node FROM c) AND NOT EXISTS (SELECT 1 FROM home o WHERE o.node = t.src AND o.sheet = h.sheet)) x""")
 def duplicates(spark, sf_dir):
     equipment = P.nodes(spark, sf_dir).where("kind = 'equipment'")
     return split.duplicate_on_neighbours(homes(spark, sf_dir).select("node", "sheet"), P.flow(spark, sf_dir), equipment, 0.3, 5)

@@ -8,7 +8,10 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 #: Extra columns whose names the operators use inside.
-CLASHES = ("size", "row", "name", "level", "part", "fp", "rank", "class", "norm", "copies", "u", "n", "keys", "length")
+CLASHES = (
+    "size", "row", "name", "level", "part", "fp", "rank", "class", "norm", "copies", "u", "n", "keys", "length", "own", "number", "lang_pred", "lang_score", "lang_share", "_sha", "_gone", "_key", "_id", "_own", "_n", "_share",
+    "_row", "_spot", "text_key", "source_size", "target", "expected", "certain", "chance", "step", "scale", "cut", "group", "cell", "parts", "kept", "first", "time", "tie", "key", "s", "a.b",
+)
 
 
 def tricky_rows() -> list[dict]:

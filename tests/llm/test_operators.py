@@ -171,13 +171,30 @@ def test_mixing(spark, tricky, rows):
     assert by_key and at == {}
 
 
-def test_mixing_with_unequal_odds_is_fixed_in_size_and_follows_the_odds(spark):
-    docs = spark.range(4000).selectExpr("id as doc_id", "'w w w w' as text", "if(id < 400, 'a', 'b') as source", "if(id % 2 = 0, 3.0, 1.0) as odds")
-    picked = {r["doc_id"]: r["copies"] for r in mixing.pareto_mix(docs, weights=(1, 7), odds_weight="odds").collect()}
-    of_b = [i for i in range(400, 4000)]
-    assert abs(sum(4 * picked[i] for i in of_b) - 14000) <= 4
-    heavy, light = sum(picked[i] for i in of_b if i % 2 == 0), sum(picked[i] for i in of_b if i % 2)
-    assert heavy > light
+@pytest.mark.parametrize("unit", ["words", "rows"])
+def test_mixing_draws_a_fixed_size_with_unequal_chances(spark, unit):
+    docs = spark.range(21_000).selectExpr("id as doc_id", "if(id % 3 = 0, 'w w w w w w', 'w w') as text", "if(id < 1000, 'a', 'b') as source", "if(id % 2 = 0, 4.0, 1.0) as odds")
+    found = collect(mixing.pareto_mix(docs, weights=(1, 2), odds_weight="odds", unit=unit))
+    of_b = [r for r in found if r["doc_id"] >= 1000]
+    target = of_b[0]["target"]
+    # chances follow the odds: four times as many copies are expected of a heavy document, up to the most there are
+    heavy, light = ([r for r in of_b if r["doc_id"] % 2 == k] for k in (0, 1))
+    assert {round(r["expected"], 9) for r in heavy} == {round(min(3, 4 * r["expected"]), 9) for r in light}
+    assert sum(r["expected"] * r["size"] for r in of_b) == pytest.approx(target)
+    for some in (heavy, light):
+        assert np.mean([r["copies"] for r in some]) == pytest.approx(some[0]["expected"], rel=0.03)
+        assert {r["copies"] for r in some} <= {math.floor(some[0]["expected"]), math.floor(some[0]["expected"]) + 1}
+    if unit == "rows":  # as many documents as the chances sum to
+        assert sum(r["copies"] - math.floor(r["expected"] + 1e-12) for r in of_b) == round(sum(r["expected"] - math.floor(r["expected"] + 1e-12) for r in of_b))
+    else:
+        assert abs(sum(r["taken"] for r in of_b) - target) <= 3
+
+
+def test_longer_documents_are_likelier_by_default(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "if(id % 2 = 0, 'w', repeat('w ', 62)) as text", "if(id < 15000, 'a', 'b') as source")
+    found = collect(mixing.pareto_mix(docs, weights=(1, 1)))
+    rate = lambda k: np.mean([r["copies"] for r in found if r["doc_id"] < 15000 and r["doc_id"] % 2 == k])
+    assert rate(1) / rate(0) == pytest.approx(6 / math.log2(3), rel=0.05)
 
 
 def test_repeated_rows_follow_the_mix(spark, tricky, rows):
@@ -504,6 +521,44 @@ def test_language_id_is_right_on_held_out_documents(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.97
 
 
+def plain_grams(text):
+    """The n-grams as strings: blanks, digits and signs before the letters are one sign."""
+    low = "".join(c if ord(c) >= 65 else " " for c in text.lower())
+    low = low.ljust(langid.N)
+    return [low[i : i + langid.N] for i in range(len(low) - langid.N + 1)]
+
+
+def test_filters_say_what_exact_sets_say(spark):
+    docs = [r for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist() if r["lang"] and r["text"]]
+    filters = langid.learn(spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in docs], "doc_id long, text string, lang string"), sample_rows=10**9)
+    known = {}
+    for lang in sorted({r["lang"] for r in docs}):
+        counts = Counter(g for r in docs if r["lang"] == lang for g in plain_grams(r["text"]))
+        known[lang] = {g for g, n in counts.items() if n >= max(counts.total() * langid.LEAST_SHARE, 1)}
+    assert filters.languages == sorted(known)
+    other = [" ".join(r["text"].split()[:7]) for r in docs] + ["ab", "x", "Ünë tëxt", docs[0]["text"][:40] + docs[1]["text"][:40], "日本語のテキスト"]
+    same = 0
+    for text in [r["text"] for r in docs] + other:
+        grams = plain_grams(text)
+        exact = np.array([sum(g in known[x] for g in grams) / len(grams) for x in filters.languages])
+        assert np.abs(filters.shares(text) - exact).max() <= 0.02 + 3 / len(grams)
+        first, second = np.sort(exact)[::-1][:2]
+        if first - second > 0.04 + 6 / len(grams):
+            assert filters.predict(text)[0] == filters.languages[int(exact.argmax())]
+            same += 1
+    assert same > 0.8 * len(docs)
+
+
+def test_long_texts_are_worked_on_in_slices_without_loss(monkeypatch):
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 500, 3_000))
+    filters = langid.LanguageFilters(["a"], (rng.random((1, 1 << langid.SLOTS_LOG2)) < 0.5).astype(np.int64))
+    whole = filters.shares(text), simhash.fingerprint(text, 3), simhash.wide_fingerprint(text, 5)
+    monkeypatch.setattr(langid, "SLICE", 1_001)
+    monkeypatch.setattr(simhash, "SLICE", 97)
+    assert (filters.shares(text), simhash.fingerprint(text, 3), simhash.wide_fingerprint(text, 5)) == whole
+
+
 def test_filters_over_more_than_63_languages(spark):
     alphabet = [chr(0x4E00 + i) for i in range(700)]
     docs = [(i, "".join(alphabet[7 * (i % 100) + (i * 3 + j * j) % 7] for j in range(60)), f"l{i % 100:03}") for i in range(400)]
@@ -650,32 +705,43 @@ def test_top_k_rotation_is_orthogonal(spark):
     assert np.allclose(q.T @ q, np.eye(64), atol=1e-9)
 
 
-def test_wide_links_connect_what_is_within_the_radius(spark):
-    rng = np.random.default_rng(2)
-    rows = rng.integers(0, 2**63, (200, 2)).astype(np.uint64)
-    family = []
-    for base in rows[:30]:
-        for _ in range(20):
-            flips = rng.choice(128, 9, replace=False)
-            mask = [sum(1 << int(b) for b in flips if b < 64), sum(1 << int(b - 64) for b in flips if b >= 64)]
-            family.append(base ^ np.array(mask, np.uint64))
-    prints = np.unique(np.concatenate([rows, family]), axis=0)
-    frame = spark.createDataFrame([(int(a), int(b)) for a, b in prints.view(np.int64).tolist()], "low long, high long").repartition(5)
-    edges = [(int(e["a"], 16), int(e["b"], 16)) for e in simhash.wide_links(frame, len(prints), 27).collect()]
-    assert edges
-    groups = Counter()
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent[root(a)] = root(b)
-    for a, b in prints.tolist():
-        groups[root((b << 64) | a)] += 1
-    assert sorted(groups.values())[-30:] == [21] * 30 and sum(v > 1 for v in groups.values()) == 30
+def similar_components(texts):
+    """Smallest number of each text's component, by all pairs of five-word shingle sets at 0.8 or more."""
+    sets = [set(simhash.shingle_set(x, 5).tolist()) for x in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("rows, hot", [(1_024, 4_096), (6, 4_096), (6, 2), (1_024, 2)])
+def test_large_groups_in_parts_give_what_all_pairs_give(spark, rows, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_ROWS", rows)
+    monkeypatch.setattr(simhash, "HOT_KEY", hot)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(2_000)]
+    texts = []
+    for size, changes in ((40, 2), (25, 6), (15, 9)):  # groups of near, of borderline and of mostly too different copies
+        base = rng.choice(words, 200).tolist()
+        for _ in range(size):
+            other = list(base)
+            for at in rng.choice(200, changes, replace=False):
+                other[at] = f"c{rng.integers(10**9)}"
+            texts.append(" ".join(other))
+    chain = rng.choice(words, 200).tolist()
+    for _ in range(15):  # each near the one before, the last unlike the first
+        chain = list(chain)
+        for at in rng.choice(200, 3, replace=False):
+            chain[at] = f"c{rng.integers(10**9)}"
+        texts.append(" ".join(chain))
+    texts += [" ".join(rng.choice(words, 200)) for _ in range(20)]
+    rng.shuffle(texts)
+    want = similar_components(texts)
+    found = simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == dict(enumerate(want))
 
 
 def test_near_copies_go_and_other_documents_stay(spark):
@@ -791,6 +857,60 @@ def test_language_stage_drops_what_no_language_knows_and_needs_labels(spark):
     assert corpus_pipeline.language_id(spark, unlabelled, DATA).count() == both.count()
 
 
+def test_stages_keep_columns_of_any_name_and_value(spark, tricky, rows):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{tricky}/documents.parquet")
+    values = {c: "clash" for c in docs.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")}
+    assert len(values) > 40
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, tricky)
+        assert found.columns == docs.columns, name
+        for r in found.select(*(f"`{c}`" for c in values)).distinct().collect():
+            assert r.asDict() == values, name
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(5)
+    docs = [{k: r[k] for k in ("doc_id", "text", "lang", "source", "n_chars")} for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()[:120]]
+    for i, r in enumerate(docs[:40]):
+        words = (r["text"] or "").split(" ")
+        docs.append(dict(r) | {"doc_id": 1_000 + i, "text": "  ".join(words)})
+        if len(words) > 80:
+            words[40] = "changed"
+            docs.append(dict(r) | {"doc_id": 2_000 + i, "text": " ".join(words)})
+    docs += [{"doc_id": 3_000, "text": "zxqj kwvbt qqxz pfft wkjh zzgh", "lang": None, "source": "src1", "n_chars": 1}, {"doc_id": 3_001, "text": "1 2 3", "lang": None, "source": "src1", "n_chars": 1}, {"doc_id": 3_002, "text": None, "lang": "en", "source": "src1", "n_chars": 1}]
+    rng.shuffle(docs)
+    write(tmp_path, "documents", pa.Table.from_pylist(docs, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])))
+    found = collect(corpus_pipeline.run(spark, str(tmp_path)))
+    left = sorted((r for r in docs if r["doc_id"] < 3_000 and re.search(r"[^\W\d_]", r["text"] or "")), key=lambda r: r["doc_id"])
+    first = {}
+    for r in left:  # exact copies
+        first.setdefault(BLANKS.sub(" ", r["text"]), r)
+    left = sorted(first.values(), key=lambda r: r["doc_id"])
+    label = similar_components([r["text"] for r in left])
+    left = [r for i, r in enumerate(left) if label[i] == i]
+    by_id = {r["doc_id"]: r for r in left}
+    copies = Counter(r["doc_id"] for r in found if r["piece"] == 0)
+    assert set(copies) <= set(by_id) and max(copies.values()) <= 3
+    size = {d: len(WORD.findall(r["text"])) for d, r in by_id.items()}
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for d, r in by_id.items():
+        sizes[r["source"]] += size[d]
+        taken[r["source"]] += copies[d] * size[d]
+    for source, want in targets(sizes).items():
+        assert abs(taken[source] - want) <= max(size[d] for d, r in by_id.items() if r["source"] == source) / 2 + 1e-6
+    want = Counter()
+    for d, ids in zip(copies, tokenized("word_bpe_49k.json", [by_id[d]["text"] for d in copies]), strict=True):
+        ids = ids + [0]
+        for k in range(0, len(ids), 2048):
+            want[(d, k // 2048, k, len(ids[k : k + 2048]), crc(ids[k : k + 2048]))] += copies[d]
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == want
+    assert check_packing(found, 2048) <= math.ceil(sum(r["length"] for r in found) / 2048) * 1.1 + 2
+
+
 def test_pipeline_stages_keep_columns_and_take_effect(spark, tricky, empty):
     import corpus_pipeline
 

@@ -32,7 +32,7 @@ WIDTH = 63
 #: Rows expected in a language's sample, and the least share of its n-grams that one needs to be learned.
 SAMPLE_ROWS, LEAST_SHARE = 1_500, 2e-6
 #: Characters worked on at a time.
-SLICE = 1_000_000
+SLICE = 200_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -132,15 +132,17 @@ def identify(documents: DataFrame, filters: LanguageFilters) -> DataFrame:
     bound_batches(spark)
     sent = spark.sparkContext.broadcast(filters)  # 8 MB per 63 languages
     own = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in documents.columns))
+    place = documents.columns.index("text")
 
     def judge(batches):
         for batch in batches:
-            found = [sent.value.predict(t.as_py()) for t in batch.column("text")]
+            texts = batch.column("own").field(place).cast(pa.string())  # texts travel once, within their rows
+            found = [sent.value.predict(t.as_py()) for t in texts]
             names, scores, shares = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())], ["own", "lang_pred", "lang_score", "lang_share"])
 
     schema = StructType([StructField("own", documents.schema), StructField("lang_pred", StringType()), StructField("lang_score", DoubleType()), StructField("lang_share", DoubleType())])
-    return documents.select(own.alias("own"), F.col("text").cast("string").alias("text")).mapInArrow(judge, schema)
+    return documents.select(own.alias("own")).mapInArrow(judge, schema)
 
 
 def in_fold(modulus: int, remainder: int):

@@ -70,11 +70,11 @@ def cut_edges(edges: DataFrame, home: DataFrame) -> tuple[DataFrame, DataFrame,
     `home` is (node, sheet). A cut edge a>b becomes a>out on a's sheet and in>b on b's; stubs are numbered per
     sheet in the order of (src, dst, relation).
     """
-    at = edges.join(home.select(F.col("node").alias("src"), F.col("sheet").alias("src_sheet")), "src").join(home.select(F.col("node").alias("dst"), F.col("sheet").alias("dst_sheet")), "dst")
+    at = stash(edges.join(home.select(F.col("node").alias("src"), F.col("sheet").alias("src_sheet")), "src").join(home.select(F.col("node").alias("dst"), F.col("sheet").alias("dst_sheet")), "dst"), "placed-edges")
     kept = at.where("src_sheet = dst_sheet").select(F.col("src_sheet").alias("sheet"), "src", "dst", "relation")
     order = ["src", "dst", "relation"]
     cut = at.where("src_sheet <> dst_sheet").withColumn("out_no", F.row_number().over(Window.partitionBy("src_sheet").orderBy(*order))).withColumn("in_no", F.row_number().over(Window.partitionBy("dst_sheet").orderBy(*order)))
-    cut = cut.withColumn("out_stub", F.concat_ws("", "src_sheet", F.lit(":out"), "out_no")).withColumn("in_stub", F.concat_ws("", "dst_sheet", F.lit(":in"), "in_no"))
+    cut = stash(cut.withColumn("out_stub", F.concat_ws("", "src_sheet", F.lit(":out"), "out_no")).withColumn("in_stub", F.concat_ws("", "dst_sheet", F.lit(":in"), "in_no")), "cut-edges")
     on_sheets = kept.unionByName(cut.select(F.col("src_sheet").alias("sheet"), "src", F.col("out_stub").alias("dst"), "relation")).unionByName(cut.select(F.col("dst_sheet").alias("sheet"), F.col("in_stub").alias("src"), "dst", "relation"))
     stubs = cut.select(F.col("out_stub").alias("key"), F.col("src_sheet").alias("sheet"), F.lit("outgoing").alias("direction")).unionByName(cut.select(F.col("in_stub").alias("key"), F.col("dst_sheet").alias("sheet"), F.lit("incoming").alias("direction")))
     return on_sheets, stubs, cut.select(F.col("out_stub").alias("from_key"), F.col("in_stub").alias("to_key"), "relation")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, scalars, stats
+from ..lineage import stash
 from ..operators import resolve, runs, traverse
 from ..schema import LINE_ITEMS, class_dim
 from . import projection as P
@@ -281,7 +282,8 @@ def plant_store(spark, sf_dir, profile: str, without: str | None = None):
     topology = resolve.contract(on_sheets.select("src", "dst", "relation"), pairs)
     others = P.edges(spark, sf_dir).where("relation <> 'send_to'").withColumn("via", F.array().cast("array<string>"))
     topology = topology.select("src", "dst", "relation", "via").unionByName(others.select("src", "dst", "relation", "via"))
-    return store.store_rows(profile, items, drawn, topology, inner, pairs, lines(spark, sf_dir) if profile == "plant_lines" else None)
+    nodes, rels = store.store_rows(profile, items, drawn, topology, inner, pairs, lines(spark, sf_dir) if profile == "plant_lines" else None)
+    return stash(nodes, "store-nodes"), stash(rels, "store-relations")
 
 
 @query("snk4_store_profiles", with_sql("nodes", "flow", "edges", "drawings", recursive=CUT + ", " + FOLD) + """, r AS (

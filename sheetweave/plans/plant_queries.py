@@ -468,7 +468,7 @@ def loops_near_item(spark, sf_dir):
 
 
 @query("q21_valves_on_path", with_sql("nodes", "flow", recursive="""starts AS (SELECT node FROM nodes WHERE kind = 'equipment'),
-walk(start, node, hops, n) AS (SELECT node, node, 0, 0 FROM starts UNION SELECT w.start, f.dst, w.hops + 1, w.n + CASE WHEN w.node <> w.start AND w.node IN (SELECT node FROM nodes WHERE kind = 'valve') THEN 1 ELSE 0 END FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 18),
+walk(start, node, hops, n) AS (SELECT node, node, 0, 0 FROM starts UNION SELECT w.start, f.dst, w.hops + 1, w.n + CASE WHEN w.node <> w.start AND w.node IN (SELECT node FROM nodes WHERE kind = 'valve') THEN 1 ELSE 0 END FROM walk w JOIN flow f ON f.src = w.node WHERE w.hops < 40),
 least AS (SELECT start, node, min(hops) AS hops FROM walk GROUP BY ALL)""") + "SELECT start, node, min(n) AS answer FROM walk JOIN least USING (start, node, hops) JOIN nodes t USING (node) WHERE node <> start AND t.kind = 'equipment' GROUP BY ALL HAVING min(n) = max(n)")
 def valves_on_path(spark, sf_dir):
     nodes = P.nodes(spark, sf_dir)

@@ -87,3 +87,13 @@ def test_dominators_tell_what_is_lost_without_a_node(spark):
         for gone in whole:
             left = set(walker.walk(0, without=gone)[0].tolist())
             assert {v for v in whole if place[gone] <= place[v] < place[gone] + size[gone]} == whole - left
+
+
+def test_routes_avoiding_every_node_of_a_long_line_end(spark):
+    """A walk for each removed node takes some 10^9 layers here."""
+    n = 60_000
+    k = spark.range(n - 1).selectExpr("printf('n%06d', id) src", "printf('n%06d', id + 1) dst")
+    asked = spark.range(1, n).selectExpr("printf('n%06d', id) removed", "array(printf('n%06d', id - 1), printf('n%06d', id + 1)) targets")
+    found = traverse.routes_without(k, asked, "n000000").collect()
+    assert len(found) == n - 1
+    assert all(r["n_reached"] == int(r["removed"][1:]) - 1 and r["reached"] == [r["removed"] != "n000001", False] for r in found)

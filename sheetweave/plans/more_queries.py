@@ -234,12 +234,9 @@ def store_invariants(spark, sf_dir):
 def flow_paths(spark, sf_dir):
     """From every equipment item the tags on the way to each equipment item 2 to 5 hops away."""
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
-    equipment = nodes.where(F.col("node_class").isin(*EQUIPMENT)).select("node")
-    near = traverse.closure(flow, equipment.select(F.col("node").alias("start")), "down", max_hops=5)
-    asked = near.where("hops >= 2").join(equipment, "node", "left_semi").select("start", "node")
-    steps = traverse.routes(flow, asked, F.coalesce("tag", "node"), nodes).select("start", "node", F.posexplode("path").alias("at", "step"))
-    named = steps.join(nodes.select(F.col("node").alias("step"), F.coalesce("tag", "node").alias("name")), "step")
-    return named.groupBy("start", "node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ">").alias("answer"))
+    equipment, name = nodes.where(F.col("node_class").isin(*EQUIPMENT)).select("node"), F.coalesce("tag", "node")
+    found = traverse.routes_within(flow, equipment.select(F.col("node").alias("start")), equipment, name, nodes, name, 2, 5)
+    return found.select("start", "node", F.array_join("path", ">").alias("answer"))
 
 
 @query("q11_no_path", with_sql("nodes", "flow", recursive=ALL_DOWN) + """SELECT s.node AS source, t.node AS target FROM starts s JOIN nodes t ON CAST(t.node[2:] AS BIGINT) = CAST(s.node[2:] AS BIGINT) // 2 + 1 AND t.kind = 'equipment' WHERE s.node <> t.node AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.start = s.node AND r.node = t.node)""")

@@ -6,6 +6,7 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheetweave import plans
 from sheetweave.operators import compact, traverse
@@ -97,3 +98,32 @@ def test_routes_avoiding_every_node_of_a_long_line_end(spark):
     found = traverse.routes_without(k, asked, "n000000").collect()
     assert len(found) == n - 1
     assert all(r["n_reached"] == int(r["removed"][1:]) - 1 and r["reached"] == [r["removed"] != "n000001", False] for r in found)
+
+
+def test_short_routes_do_not_walk_the_whole_graph(spark):
+    """Walks to the end of this line from each of its nodes take some 10^9 layers."""
+    n = 60_000
+    flow = spark.range(n - 1).selectExpr("printf('n%06d', id) src", "printf('n%06d', id + 1) dst")
+    nodes = spark.range(n).selectExpr("printf('n%06d', id) node", "if(id % 2 = 0, upper(printf('n%06d', id)), null) tag")
+    name = F.coalesce("tag", "node")
+    found = traverse.routes_within(flow, nodes.selectExpr("node start"), nodes.where("tag is not null"), name, nodes, name, 2, 3).collect()
+    assert len(found) == n - 3
+    spell = lambda k: f"{'N' if k % 2 == 0 else 'n'}{k:06d}"
+    for r in found:
+        a, b = int(r["start"][1:]), int(r["node"][1:])
+        assert b % 2 == 0 and 2 <= b - a <= 3 and r["path"] == [spell(k) for k in range(a, b + 1)]
+
+
+@pytest.mark.parametrize("most", [compact.MOST_OFFERS, 3])
+def test_short_routes_are_the_whole_ones(spark, most, monkeypatch):
+    """Also where starts have to be walked one by one."""
+    monkeypatch.setattr(compact, "MOST_OFFERS", most)
+    rng = np.random.default_rng(6)
+    flow = spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a, b in set(map(tuple, rng.integers(0, 30, (70, 2)).tolist()))], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{i:02d}", None if i % 4 == 0 else f"t{i % 3}") for i in range(30)], "node string, tag string")
+    name = F.coalesce("tag", "node")
+    asked = nodes.selectExpr("node start").crossJoin(nodes.select("node")).where("start <> node")
+    tags = {r["node"]: r["tag"] or r["node"] for r in nodes.collect()}
+    whole = {(r["start"], r["node"]): [tags[x] for x in r["path"]] for r in traverse.routes(flow, asked, name, nodes).collect() if 2 <= len(r["path"]) - 1 <= 4}
+    found = traverse.routes_within(flow, nodes.selectExpr("node start"), nodes, name, nodes, name, 2, 4).collect()
+    assert {(r["start"], r["node"]): r["path"] for r in found} == whole and len(found) == len(whole) > 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,12 +166,15 @@ def block_candidates(drawings: DataFrame) -> DataFrame:
     return d.withColumnRenamed("key", "a").join(b, ["node_class", "digits"]).where("a < b and sheet <> sheet_b and tag <> tag_b").select("a", "b", "tag", "tag_b")
 
 
-@F.pandas_udf(T.DoubleType())
-def string_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
+def similarity(first: str | None, second: str | None) -> float:
     """Twice the matching characters over all, by longest matching blocks."""
-    import difflib
+    return difflib.SequenceMatcher(None, first or "", second or "", autojunk=False).ratio()
 
-    return pd.Series([difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in zip(first, second, strict=True)])
+
+@F.pandas_udf(T.DoubleType())
+def string_similarity(first: pd.Series, second: pd.Series) -> pd.Series:
+    """similarity() of columns."""
+    return pd.Series([similarity(a, b) for a, b in zip(first, second, strict=True)])
 
 
 def one_to_one(links: DataFrame) -> DataFrame:

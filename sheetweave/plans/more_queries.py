@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars, stats
-from ..operators import resolve, runs, traverse
+from ..operators import blocks, resolve, runs, traverse
 from ..schema import EQUIPMENT, class_dim
 from . import projection as P
 from .catalog import query
@@ -411,9 +411,6 @@ def generated_plant(spark, sf_dir):
 
 @query("gr34_group_with_links")
 def group_with_links(spark, sf_dir):
-    from ..operators.grouping import group_with_links as group
-
     d = equipment_drawings(spark, sf_dir)
     d = d.withColumn("tag", F.concat("tag", F.when(F.col("sheet").cast("long") % 2 == 0, "").otherwise("0")))
-    links = resolve.block_candidates(d).withColumn("score", resolve.string_similarity("tag", "tag_b"))
-    return group(d.select("key", "sheet", "n_properties"), links.select("a", "b", "score"))
+    return blocks.group_with_links(d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.scalars import digits_key, k_bin, score_sets, to_boolean, to_count
-from ..operators import resolve, runs, split
+from ..operators import blocks, resolve, runs, split
 from ..schema import class_dim, class_rows
 from ..sources import sinks
 from . import projection as P
@@ -286,9 +286,7 @@ def block_candidates(spark, sf_dir):
 def one_to_one(spark, sf_dir):
     d = equipment_drawings(spark, sf_dir)
     d = d.withColumn("tag", F.concat("tag", F.when(F.col("sheet").cast("long") % 2 == 0, "").otherwise("0")))
-    links = resolve.block_candidates(d).withColumn("score", resolve.string_similarity("tag", "tag_b"))
-    sheet = lambda c: F.substring_index(c, ":", 1)
-    return resolve.one_to_one(links.select("a", "b", sheet("a").alias("sheet_a"), sheet("b").alias("sheet_b"), "score"))
+    return blocks.one_to_one(d)
 
 
 @query("ag3_plant_summary", with_sql("nodes", "flow", "edges") + "SELECT 'class' AS what, node_class AS name, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT 'relation', relation, count(*) FROM edges GROUP BY ALL")

@@ -253,9 +253,9 @@ def route_avoiding_answers(spark, sf_dir, source="p0"):
     nodes, flow = P.nodes(spark, sf_dir), P.flow(spark, sf_dir)
     k = F.substring("removed", 2, 20).cast("long")
     fed = F.array(*(F.concat(F.lit("p"), (k * 2 + i).cast("string")) for i in (1, 2)))
-    asked = nodes.where("node_class = 'GlobeValve'").select(F.col("node").alias("removed")).withColumn("target", F.explode(fed)).join(nodes.select(F.col("node").alias("target")), "target", "left_semi")
+    asked = nodes.where("node_class = 'GlobeValve'").select(F.col("node").alias("removed")).withColumn("target", F.explode(fed)).join(nodes.where("node like 'p%'").select(F.col("node").alias("target")), "target", "left_semi")
     asked = asked.groupBy("removed").agg(F.array_sort(F.collect_set("target")).alias("targets"))
-    found = traverse.routes_without(flow, asked, source).join(asked, "removed")
+    found = traverse.routes_without(flow, asked, source)
     return found.select(F.col("removed").alias("avoiding"), F.explode(F.arrays_zip("targets", "reached")).alias("x")).select("avoiding", F.col("x.targets").alias("target"), F.col("x.reached").alias("answer"))
 
 

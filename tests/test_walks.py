@@ -127,3 +127,9 @@ def test_short_routes_are_the_whole_ones(spark, most, monkeypatch):
     whole = {(r["start"], r["node"]): [tags[x] for x in r["path"]] for r in traverse.routes(flow, asked, name, nodes).collect() if 2 <= len(r["path"]) - 1 <= 4}
     found = traverse.routes_within(flow, nodes.selectExpr("node start"), nodes, name, nodes, name, 2, 4).collect()
     assert {(r["start"], r["node"]): r["path"] for r in found} == whole and len(found) == len(whole) > 100
+
+
+def test_route_avoiding_answers_make_their_pairs_once(spark):
+    """What is asked is neither computed again nor joined with what was found."""
+    plan = plans.QUERIES["q24_route_avoiding_answers"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set") == 1 and "Join Inner" not in plan.split("MapInArrow")[0]

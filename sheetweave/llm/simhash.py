@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import BROADCAST_NUMBERS, bound_batches, number_rows, own_columns, stash, texts_of, without_rows
+from .common import BROADCAST_NUMBERS, bound_batches, join_lookup, number_rows, own_columns, stash, texts_of, without_rows
 
 #: Differing bits up to which fingerprints link, and members from which a bucket is divided further.
 RADIUS, BUCKET = 3, 4096
@@ -172,7 +172,8 @@ def near_groups(documents: DataFrame, shingle: int = 5, radius: int = RADIUS, se
     return prints.join(component, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# --- near copies by similarity: the same method on fingerprints of 128 bits
+# --- near copies by similarity: candidates by the same balls, beyond their reach by shared shingles and fingerprints of
+# 128 bits; shingles decide
 
 
 #: Bits of a wide fingerprint.
@@ -188,15 +189,28 @@ CELL_ROWS, CELL_SHINGLES = 4_096, 20_000_000
 MOST_LINKS = 1_000_000
 
 
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The sorted distinct XXH64 of the text's shingles; a lone 0 without a word."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The XXH64 of the text's shingles, repeats included; a lone 0 without a word."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(1, np.uint64)
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)) if len(words) > shingle else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64))
+    return np.fromiter((xxh64_intdigest(g, 42) for g in grams), np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 of the text's shingles; a lone 0 without a word."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """fingerprint() of shingles that are hashed already."""
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), SLICE):
+        total += np.unpackbits(hashes[a : a + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def prefix(grams: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -474,13 +488,23 @@ def similar_links(texts: DataFrame, members: DataFrame, shingle: int, similarity
     return stash(links.unionByName(verified_links(texts, met, met.count(), shingle, similarity)).distinct(), "simhash-links")
 
 
+def ball_links(named: DataFrame) -> DataFrame:
+    """(a, b) names that links() of their fingerprints connect, of (fp, name): each name with the least of its component."""
+    roots = connected_components(links(named.select("fp").distinct()), lambda df: stash(df, "simhash-components"))
+    rooted = stash(named.distinct().join(roots, named.fp == roots.node, "left").select(F.coalesce("root", "fp").alias("key"), F.col("name").alias("a")), "simhash-balls")
+    least = stash(rooted.groupBy("key").agg(F.min("a").alias("b"), F.max("a").alias("most")).where("b <> most").drop("most"), "simhash-least")
+    return join_lookup(rooted, least, "key", least.count(), "inner").where("a <> b").select("a", "b").distinct()
+
+
 def similar_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(row, doc_id, root) of every row of a written table (row, doc_id, text): rows connected by pairs of this Jaccard
     similarity have the same root, the row of one of them.
 
-    Candidates are rows that share a shingle of their prefixes, which no pair of this similarity fails to do, however
-    many rows there are, and whose fingerprints are within radius_of(similarity); where a shingle is in the prefixes of
-    more than HOT_KEY texts by the sample, all of them are candidates together, for which a running minimum is enough.
+    Candidates are rows that the balls around their fingerprints of 64 bits connect. Pairs of this similarity may lie
+    beyond RADIUS bits, so that rows are candidates, too, that share a shingle of their prefixes, which no pair of this
+    similarity fails to do, however many rows there are, and whose wide fingerprints are within radius_of(similarity);
+    where a shingle is in the prefixes of more than HOT_KEY texts by the sample, all of them are candidates together, for
+    which a running minimum is enough.
     Groups of candidates are dealt to classes of adjacent lengths, and pairs in them count if their shingles say so.
     """
     bound_batches(texts.sparkSession)
@@ -489,17 +513,22 @@ def similar_rows(texts: DataFrame, shingle: int, similarity: float) -> DataFrame
 
     def hashed(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column("text")]
+            sets, narrow = [], np.empty(batch.num_rows, np.uint64)
+            for i, text in enumerate(batch.column("text")):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                narrow[i] = majority(hashes)
+                sets.append(np.unique(hashes))
             found = np.array([_wide(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
             keys = [prefix(x, similarity, common, counts) for x in sets]
             shared = [np.isin(x, hot) for x in keys]
             lists = [pa.array([x[chosen(y)].view(np.int64) for x, y in zip(keys, shared, strict=True)], pa.list_(pa.int64())) for chosen in (np.logical_not, np.asarray)]
             sizes = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), sizes, *lists], ["row", "doc_id", "low", "high", "size", "keys", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1])), pa.array(narrow.view(np.int64)), sizes, *lists], ["row", "doc_id", "low", "high", "fp", "size", "keys", "hot"])
 
-    prints = stash(texts.select("row", "doc_id", "text").mapInArrow(hashed, "row long, doc_id long, low long, high long, size long, keys array<long>, hot array<long>"), "simhash-wide")
+    prints = stash(texts.select("row", "doc_id", "text").mapInArrow(hashed, "row long, doc_id long, low long, high long, fp long, size long, keys array<long>, hot array<long>"), "simhash-wide")
     name = F.lower(F.concat(F.lpad(F.hex("high"), 16, "0"), F.lpad(F.hex("low"), 16, "0")))
-    edges = meeting_links(prints.select(F.explode("keys").alias("key"), "low", "high"), radius_of(similarity))
+    edges = ball_links(prints.select("fp", name.alias("name")))
+    edges = edges.unionByName(meeting_links(prints.select(F.explode("keys").alias("key"), "low", "high"), radius_of(similarity)))
     if len(hot):
         many = prints.select(F.explode("hot").alias("key"), name.alias("a"))
         least = stash(many.groupBy("key").agg(F.min("a").alias("b")), "simhash-hot")

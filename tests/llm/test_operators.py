@@ -990,3 +990,28 @@ def test_katz_packed_numbers_come_back(values, kind):
     packed = katz.pack(np.array(values, kind), kind)
     assert katz.unpack(packed, kind).tolist() == values and katz.unpack(packed, kind).dtype == kind
     assert not values or packed[0] == {"f": 8}.get(np.dtype(kind).kind, max(1, -(-int(max(values)).bit_length() // 8)))
+
+
+def test_balls_around_fingerprints_bring_near_copies_together_in_the_pipeline(spark, monkeypatch):
+    """Without any candidate by shared shingles, near copies within the balls' radius go; a pair beyond it needs those."""
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(0)
+    text = lambda n: [f"w{rng.randrange(5_000)}" for _ in range(n)]
+    first, other = text(600), text(600)
+    near = [*first[:-1], "changed"]
+    far = [w if i % 50 else "changed" for i, w in enumerate(first)]
+    bits = lambda a, b: (simhash.fingerprint(" ".join(a), 5) ^ simhash.fingerprint(" ".join(b), 5)).bit_count()
+    assert bits(first, near) <= simhash.RADIUS < min(bits(first, far), bits(first, other))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([first, near, far, other])] + [(4, None), (5, "")], "doc_id long, text string")
+    drop = lambda: sorted(r["doc_id"] for r in collect(corpus_pipeline.near_dedup(spark, docs, "")))
+    assert drop() == [0, 3, 4]
+    monkeypatch.setattr(simhash, "meeting_links", lambda keyed, radius: spark.createDataFrame([], "a string, b string"))
+    assert drop() == [0, 2, 3, 4]
+
+
+@pytest.mark.parametrize("text", [None, "", "a b", "a b c d e f a b c d e f a b c d e", "x " * 50])
+def test_majority_of_hashes_is_the_fingerprint(text):
+    assert simhash.majority(simhash.shingle_hashes(text, 5)) == simhash.fingerprint(text, 5)
